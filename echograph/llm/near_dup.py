@@ -324,6 +324,12 @@ def detect(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """df without the documents that detect() drops: one of each group is left."""
+    gone = common.written(detect(df, text, key).where("not kept").select(F.col(key).alias("gone")).distinct(), "dropped")
+    return df.join(common.bounded(gone, 1_000_000), F.col(key) == F.col("gone"), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group."""
     return detect(common.table(spark, sf_dir, "documents"))
