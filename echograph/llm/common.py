@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Upper limit on rows of a table that is sent whole to every executor; beyond it a shuffle join runs.
 BROADCAST_ROWS = 50_000
+#: The same for a table of one id column.
+BROADCAST_IDS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -215,7 +215,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs a, b those whose full sets are similar enough."""
     need = pairs.select(F.col("a").alias("id"), "a", "b").unionByName(pairs.select(F.col("b").alias("id"), "a", "b"))
     ids = need.select(F.col("id").alias("i")).distinct()
-    wanted = docs.join(common.bounded(ids, 200_000), docs["id"] == F.col("i"), "left_semi") if common.few(ids, 200_000) else docs
+    wanted = docs.join(common.bounded(ids, common.BROADCAST_IDS), docs["id"] == F.col("i"), "left_semi") if common.few(ids, common.BROADCAST_IDS) else docs
     both = need.join(wanted, "id").groupBy("a", "b").agg(F.min_by("text", "id").alias("ta"), F.max_by("text", "id").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +327,7 @@ def detect(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """df without the documents that detect() drops: one of each group is left."""
     gone = common.written(detect(df, text, key).where("not kept").select(F.col(key).alias("gone")).distinct(), "dropped")
-    return df.join(common.bounded(gone, 1_000_000), F.col(key) == F.col("gone"), "left_anti")
+    return df.join(common.bounded(gone, common.BROADCAST_IDS), F.col(key) == F.col("gone"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

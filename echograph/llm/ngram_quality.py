@@ -39,8 +39,6 @@ PRIOR = 100
 QUANTILE, SLACK = 0.995, 1.1
 #: Languages whose tables are sent at once; a table takes 2 * CELLS bytes at most.
 SLICE = 16
-#: Trusted ids that are broadcast; more are joined by a shuffle.
-IDS = 2_000_000
 STEP = 1 << 20
 ALL = "*"
 
@@ -176,7 +174,7 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     spark = df.sparkSession
     df = df.drop(*[c for c in ("score", "limit", "kept") if c in df.columns])
     ids = common.written(trusted_ids(labels), "trusted")
-    trusted = df.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(common.bounded(ids, IDS), F.col("id") == F.col("trusted_id"), "left_semi")
+    trusted = df.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(common.bounded(ids, common.BROADCAST_IDS), F.col("id") == F.col("trusted_id"), "left_semi")
     counts = common.written(with_all(count(trusted)), "gram-counts")
     models = common.written(tables(counts), "gram-tables")
     known = sorted(r[0] for r in models.select("lang").collect() if r[0] != ALL)
