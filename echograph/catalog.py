@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
+from pkgutil import iter_modules
 
 _queries: dict[str, Callable] = {}
 _oracles: dict[str, str] = {}
@@ -20,9 +22,19 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    """Imports the modules that register queries."""
+    from echograph import plans
+
+    for m in iter_modules(plans.__path__):
+        importlib.import_module(f"echograph.plans.{m.name}")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_oracles)
