@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +32,8 @@ NAME = "op1_byte_bpe"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Segments kept per worker.
 CACHE = 600_000
-#: Ids after which a batch goes out.
-BATCH_IDS = 2_000_000
+#: Bytes of text of a batch.
+BATCH_BYTES = 4_000_000
 
 #: White space beyond ASCII, and the separators that some definitions count: such texts are not cut.
 ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
@@ -132,9 +133,10 @@ def codec(path: str | None, pattern: str | None) -> ByteBPE:
     return ByteBPE(path or P.path(VOCABULARY), pattern or P.PATTERN)
 
 
-def _slices(batch: pa.RecordBatch, weigh: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about BATCH_IDS weight each."""
-    part = np.cumsum(weigh) // BATCH_IDS
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch in which the binary column has about `size` bytes each."""
+    weigh = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)) + 64
+    part = np.cumsum(weigh) // size
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(weigh)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
@@ -148,10 +150,8 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for whole in batches:
-            raw = whole.column(1).cast(pa.binary())
-            lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(raw), 0))
-            for b in _slices(whole, lengths + 64):
-                texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
+            for b in slices(whole, 1, BATCH_BYTES):
+                texts = [x or b"" for x in b.column(1).to_pylist()]
                 ids = [c.encode(t) for t in texts]
                 at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = lambda parts, kind, at=at: pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)))
@@ -165,7 +165,7 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, ids array<int>" + ", char_starts array<int>, char_ends array<int>, cuts array<boolean>" * offsets
-    return df.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(key), F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", path: str | None = None, pattern: str | None = None, digest: bool = False) -> DataFrame:

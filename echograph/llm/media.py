@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .bpe import slices
 
 NAME = "op4_media"
 WIDTH = 64
@@ -130,13 +131,9 @@ def _map(df: DataFrame, schema: str, fields: list[str], make) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(whole.column(1)), 0)) + 256
-            part = np.cumsum(sizes) // BATCH_BYTES
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b > a:
-                    cols = zip(*(make(x or b"") for x in whole.column(1).slice(a, b - a).to_pylist()), strict=True)
-                    yield pa.RecordBatch.from_arrays([whole.column(0).slice(a, b - a), *map(pa.array, cols)], fields)
+            for b in slices(whole, 1, BATCH_BYTES):
+                cols = zip(*(make(x or b"") for x in b.column(1).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols)], fields)
 
     return df.mapInArrow(run, schema)
 

@@ -7,11 +7,12 @@ runs of non-white-space). Two documents are linked where 100 * |intersection| >=
    one class; its smallest id stands for it, so copies are never compared with each other.
 2. Signatures are cut into BANDS bands of ROWS values; classes that share a band meet in a bucket. A
    link of similarity 0.75 meets nowhere with a chance of (1 - 0.75^4)^48 = 1e-8.
-3. In a bucket of up to ALL_PAIRS classes all pairs are candidates: at most ALL_PAIRS rows a member.
-   In a larger one each member is a candidate with its centre, the class whose buckets are fullest
-   (the text that the copies were made of); then, as long as members of several groups are left in
-   it, with the centre of those outside the first centre's group, for ROUNDS rounds.
-4. Candidates whose signatures agree in under ESTIMATE of their values go (4.8 standard deviations
+3. In a bucket each member is a candidate with the bucket's centre: in buckets of over ALL_PAIRS
+   classes the one whose buckets are fullest (the text that the copies were made of), else the least
+   id. In buckets of up to ALL_PAIRS classes all pairs that this leaves in different groups follow: at
+   most ALL_PAIRS rows a member. In larger ones, as long as members outside the centre's group are
+   left, the centre of these is compared with all, for ROUNDS rounds.
+4. Candidates whose signatures agree in under ESTIMATE of their values go (4 standard deviations
    below 0.75); all others are verified on the full sets of their texts.
 5. Links become groups: union-find inside each task, then rounds of hooking smaller labels between
    tasks until none changes. No link, group or fingerprint goes to the driver.
@@ -43,7 +44,7 @@ BANDS, ROWS = 48, 4
 SLOTS = BANDS * ROWS
 ALL_PAIRS = 64
 ROUNDS = 2
-ESTIMATE = 0.6
+ESTIMATE = 0.625
 CHUNK_BYTES = 2_000_000
 CHUNK_ELEMENTS = 60_000
 
@@ -273,15 +274,6 @@ def classes(sets: DataFrame) -> DataFrame:
     return sets.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
 
 
-def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs a < b from small buckets, and the rows key, id, count of large ones; rows has key, id."""
-    counts = rows.groupBy("key").count().where("count > 1")
-    met = common.written(rows.join(counts, "key"), "buckets")
-    small = met.where(f"count <= {ALL_PAIRS}")
-    pairs = small.alias("x").join(small.alias("y"), F.expr("x.key = y.key and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    return pairs, met.where(f"count > {ALL_PAIRS}")
-
-
 def _centred(large: DataFrame) -> DataFrame:
     """key, centre of each large bucket: the member whose large buckets are fullest, the least id among equals."""
     full = large.groupBy("id").agg(F.sum("count").alias("weight"))
@@ -299,10 +291,16 @@ def detect(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     reps = common.written(classes(sets), "classes")
     sigs = common.written(sets.select("id", "n", "keys", "values").dropDuplicates(["id"]).join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), "signatures")
     rows = sigs.select(F.explode("keys").alias("key"), "id")
-    pairs, large = _candidates(rows)
-    centres = _centred(large)
-    starred = _ordered(large.join(centres, "key"), "id", "centre")
-    links = common.written(_verified(common.written(_agreeing(pairs.distinct().unionByName(starred).distinct(), sigs), "candidates"), docs), "links")
+    met = common.written(rows.join(rows.groupBy("key").count().where("count > 1"), "key"), "buckets")
+    small, large = met.where(f"count <= {ALL_PAIRS}"), met.where(f"count > {ALL_PAIRS}")
+    centres = common.written(_centred(large).unionByName(small.groupBy("key").agg(F.min("id").alias("centre"))), "centres")
+    tried = common.written(_agreeing(_ordered(met.join(centres, "key"), "id", "centre"), sigs), "candidates")
+    links = common.written(_verified(tried, docs), "links")
+    # what the centres did not join: pairs of a small bucket that are in different groups
+    labels = groups(links)
+    marked = small.where("count > 2").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    apart = marked.alias("x").join(marked.alias("y"), F.expr("x.key = y.key and x.id < y.id and x.label <> y.label")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    links = links.unionByName(common.written(_verified(common.written(_agreeing(apart, sigs).join(tried, ["a", "b"], "left_anti"), "candidates"), docs), "links"))
     for _ in range(ROUNDS if large.limit(1).count() else 0):
         labels = groups(links)
         # what is left of a large bucket: members outside the group of its centre
@@ -312,8 +310,8 @@ def detect(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         if not left.limit(1).count():
             break
         more = _centred(left)
-        others = _ordered(marked.select("key", "id").join(more, "key"), "id", "centre")
-        fresh = common.written(_verified(common.written(_agreeing(others, sigs), "candidates"), docs).join(links, ["a", "b"], "left_anti"), "links")
+        others = _agreeing(_ordered(marked.select("key", "id").join(more, "key"), "id", "centre"), sigs).join(tried, ["a", "b"], "left_anti")
+        fresh = common.written(_verified(common.written(others, "candidates"), docs), "links")
         large, centres = left, more
         if not fresh.limit(1).count():
             break

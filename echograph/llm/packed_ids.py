@@ -14,7 +14,9 @@ Empty table: empty data set. Columns other than key and text are not stored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .bpe import byte_characters, slices
 
 NAME = "op3_packed_ids"
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 BLOCK_IDS = 65_536
-CACHE = 600_000
+CACHE = 1_000_000
+BATCH_BYTES = 1_000_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -58,34 +62,70 @@ def unpack(payload: bytes, bits: int, first: int, n: int) -> np.ndarray:
     return ((value >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
+#: The steps before the model of a file that short() repeats: fixed values of the public file format.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+#: Printable ASCII and the letters of Latin-1, and the split pattern as it is on them in lower case.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
 class WordEncoder:
-    """The tokenizer of a file; white space splits its input, so each run between ASCII white space is encoded once."""
+    """The tokenizer of a file; white space splits its input, so each run between ASCII white space is encoded once.
+
+    In runs of plain characters the pieces are cut here and only new pieces go to the tokenizer's
+    model, many at a time; other runs pass through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.bits = bits_for(self.tokenizer.get_vocab_size(with_added_tokens=True))
+        with open(path) as f:
+            steps = json.load(f)
+        self.known = all(steps[k] == v for k, v in STEPS.items())
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.shown = {chr(b): c for b, c in enumerate(byte_characters())}
         self.cache: dict[bytes, bytes] = {}
-
-    def encode(self, text: bytes) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        out, parts = [], text.split()
-        for i in range(0, len(parts), 100_000):
-            some = parts[i : i + 100_000]
-            got = list(map(self.cache.get, some))
-            if None in got:
-                missing = list({p for p, g in zip(some, got, strict=True) if g is None})
-                found = self.tokenizer.encode_batch([m.decode() for m in missing], add_special_tokens=False)
-                new = {m: np.array(e.ids, "<u4").tobytes() for m, e in zip(missing, found, strict=True)}
-                got = [new[p] if g is None else g for p, g in zip(some, got, strict=True)]
-                if len(self.cache) + len(new) > CACHE:
-                    self.cache.clear()
-                self.cache.update((k, v) for k, v in new.items() if len(k) <= 40)
-            out.append(b"".join(got))
-        return b"".join(out)
+        self.pieces: dict[str, bytes] = {}
+
+    def _model(self, pieces: list[str]) -> None:
+        """Encodes pieces and remembers them."""
+        for i in range(0, len(pieces), 1000):
+            some = pieces[i : i + 1000]
+            line = " ".join(p if p.isascii() else "".join(map(self.shown.__getitem__, p.encode().decode("latin-1"))) for p in some)
+            found = self.model.encode(line, add_special_tokens=False)
+            at = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(some) + 1))).tolist()
+            ids = np.array(found.ids, "<u4").tobytes()
+            self.pieces.update((p, ids[x:y]) for p, x, y in zip(some, at, at[1:], strict=False))
+
+    def _new(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        texts = [r.decode() for r in runs]
+        cut = [PIECE.findall(t.lower()) if self.known and PLAIN.fullmatch(t) else None for t in texts]
+        missing = {p for c in cut if c for p in c if p not in self.pieces}
+        if len(self.pieces) + len(missing) > CACHE:
+            self.pieces.clear()
+            missing = {p for c in cut if c for p in c}
+        self._model(list(missing))
+        odd = [t for t, c in zip(texts, cut, strict=True) if c is None]
+        whole = iter([np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(odd, add_special_tokens=False)])
+        return {r: next(whole) if c is None else b"".join(map(self.pieces.__getitem__, c)) for r, c in zip(runs, cut, strict=True)}
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers; what is new in them is encoded together."""
+        cut = [t.split() for t in texts]
+        new = list({p for parts in cut for p in parts if p not in self.cache})
+        if len(self.cache) + len(new) > CACHE:
+            self.cache.clear()
+            new = list({p for parts in cut for p in parts})
+        self.cache.update(self._new(new))
+        return [b"".join(map(self.cache.__getitem__, parts)) for parts in cut]
 
 
 @lru_cache(4)
@@ -117,13 +157,13 @@ def write(df: DataFrame, folder: str, text: str = "text", key: str = "doc_id", p
 
         for b in batches:
             kind = b.column(0).type
-            for i in range(b.num_rows):
-                ids = e.encode(b.column(1)[i].as_buffer().to_pybytes() if b.column(1)[i].is_valid else b"") + end
-                keys.append(b.column(0)[i].as_py()), counts.append(len(ids) // 4), held.append(ids)
-                n += len(ids) // 4
-                if n >= BLOCK_IDS:
-                    yield close()
-                    block, first, n, keys, counts, held = block + 1, first + n, 0, [], [], []
+            for some in slices(b, 1, BATCH_BYTES):
+                for k, ids in zip(some.column(0).to_pylist(), e.encode([x or b"" for x in some.column(1).to_pylist()]), strict=True):
+                    keys.append(k), counts.append(len(ids) // 4 + 1), held.append(ids + end)
+                    n += counts[-1]
+                    if n >= BLOCK_IDS:
+                        yield close()
+                        block, first, n, keys, counts, held = block + 1, first + n, 0, [], [], []
         if keys:
             yield close()
 
