@@ -57,8 +57,9 @@ def unordered(a: str, b: str) -> Column:
 
 def skip_pairs(tok: DataFrame, window: int = 4) -> DataFrame:
     """unit, f: unordered pairs of tokens less than `window` apart."""
-    wide = tok.select("unit", "w", F.explode(F.array(*[_ahead(k) for k in range(1, window)])).alias("v"))
-    return wide.where("v is not null").select("unit", unordered("w", "v").alias("f"))
+    wide = tok.select("unit", "w", *[_ahead(k).alias(f"w{k}") for k in range(1, window)])
+    met = wide.select("unit", "w", F.explode(F.array_compact(F.array(*[F.col(f"w{k}") for k in range(1, window)]))).alias("v"))
+    return met.select("unit", unordered("w", "v").alias("f"))
 
 
 def char_grams(units: DataFrame, n: int = 4) -> DataFrame:
