@@ -34,7 +34,7 @@ NAME = "op3_packed_ids"
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 BLOCK_IDS = 65_536
-CACHE = 1_000_000
+CACHE = 700_000
 BATCH_BYTES = 1_000_000
 
 
