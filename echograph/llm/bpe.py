@@ -31,7 +31,7 @@ from . import common
 NAME = "op1_byte_bpe"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Segments kept per worker.
-CACHE = 600_000
+CACHE = 250_000
 #: Bytes of text of a batch.
 BATCH_BYTES = 4_000_000
 

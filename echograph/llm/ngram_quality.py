@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .bpe import slices
 
 NAME = "op5_ngram_quality"
 SYMBOLS, ORDER = 40, 4
@@ -39,7 +40,8 @@ PRIOR = 100
 QUANTILE, SLACK = 0.995, 1.1
 #: Languages whose tables are sent at once; a table takes 2 * CELLS bytes at most.
 SLICE = 16
-STEP = 1 << 20
+STEP = 1 << 18
+BATCH_BYTES = 2_000_000
 ALL = "*"
 
 
@@ -70,20 +72,33 @@ def grams(text: bytes) -> Iterator[np.ndarray]:
         yield out
 
 
+def _less(c: np.ndarray) -> np.ndarray:
+    """Discounts of counts 0, 1, 2 and of 3 and more."""
+    n1, n2, n3, n4 = np.maximum(1, np.bincount(np.minimum(c, 5).ravel(), minlength=6)[1:5]).tolist()
+    y = n1 / (n1 + 2 * n2)
+    return np.array([0.0, *(max(0.0, k - (k + 1) * y * b / a) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
+
+
+def _interpolated(c: np.ndarray, less: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Probabilities of one order from its counts, its discounts and the order below."""
+    discount = less[np.minimum(c, 3)]
+    total, spare = c.sum(-1, keepdims=True), discount.sum(-1, keepdims=True)
+    return np.where(total > 0, (c - discount + spare * p) / np.maximum(total, 1), p)
+
+
 def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """Log-probability of the last symbol of every n-gram."""
-    orders = [counts.reshape((SYMBOLS,) * ORDER).astype(float)]
+    """Log-probability of the last symbol of every n-gram; the highest order is done symbol by symbol of its start."""
+    top = counts.reshape((SYMBOLS,) * ORDER)
+    orders = [(top > 0).sum(axis=0)]  # kinds of symbols before
     while orders[0].ndim > 1:
-        orders.insert(0, (orders[0] > 0).sum(axis=0).astype(float))  # kinds of symbols before
+        orders.insert(0, (orders[0] > 0).sum(axis=0))
     p = np.full(SYMBOLS, 1.0 / SYMBOLS)
     for c in orders:
-        n1, n2, n3, n4 = (max(1, int((c == k).sum())) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        less = np.array([0.0, *(max(0.0, k - (k + 1) * y * b / a) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
-        discount = less[np.minimum(c, 3).astype(int)]
-        total, spare = c.sum(-1, keepdims=True), discount.sum(-1, keepdims=True)
-        p = np.where(total > 0, (c - discount + spare * p) / np.maximum(total, 1), p)
-    return np.log(np.maximum(p, 1e-12)).ravel()
+        p = _interpolated(c, _less(c), p)
+    less, out = _less(top), np.empty(top.shape, np.float32)
+    for a in range(SYMBOLS):
+        out[a] = np.log(np.maximum(_interpolated(top[a], less, p), 1e-12))
+    return out.ravel()
 
 
 def count(trusted: DataFrame) -> DataFrame:
@@ -103,7 +118,7 @@ def count(trusted: DataFrame) -> DataFrame:
             langs = b.column(0).to_pylist()
             for i, lang in enumerate(langs):
                 if lang is not None and b.column(1)[i].is_valid:
-                    if lang not in held and len(held) >= 8:
+                    if lang not in held and len(held) >= 4:
                         yield from flush()
                     c = held.setdefault(lang, np.zeros(CELLS, np.int64))
                     for g in grams(b.column(1)[i].as_buffer().to_pybytes()):
@@ -126,7 +141,8 @@ def tables(counts: DataFrame) -> DataFrame:
         c = np.zeros(CELLS, np.int64)
         c[group["gram"].to_numpy()] = group["count"].to_numpy()
         small = np.minimum(np.round(-kneser_ney(c) * 2048), 65535).astype("<u2")
-        mean = float((small[: len(c)].astype(float) * c).sum() / c.sum() / 2048)
+        at = np.flatnonzero(c)
+        mean = float((small[at].astype(float) * c[at]).sum() / c.sum() / 2048)
         return pa.table({"lang": group["lang"].slice(0, 1), "table": pa.array([zlib.compress(small.tobytes(), 6)], pa.binary()), "mean": [mean]})
 
     return counts.groupBy("lang").applyInArrow(run, "lang string, table binary, mean double")
@@ -150,8 +166,7 @@ def _score(df: DataFrame, sent, langs: list[str] | None, text: str, lang: str) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = sent.value
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
+            for b in slices(whole, names.index(text), BATCH_BYTES):
                 texts, kinds = b.column(names.index(text)), b.column(names.index(lang)).to_pylist()
                 scores, limits = [], []
                 for k, kind in enumerate(kinds):
