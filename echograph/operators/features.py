@@ -35,7 +35,7 @@ def unigrams(tok: DataFrame) -> DataFrame:
 def ngrams(tok: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     """unit, pos, n, f: runs of n tokens."""
     wide = tok.select("unit", "pos", "w", *[_ahead(k).alias(f"w{k}") for k in range(1, max(sizes))])
-    runs = F.array(*[F.struct(F.lit(n).alias("n"), F.when(F.col(f"w{n - 1}").isNotNull(), F.concat_ws(" ", "w", *[f"w{k}" for k in range(1, n)])).alias("f")) for n in sizes])
+    runs = F.array(*[F.struct(F.lit(n).alias("n"), F.when(F.col(f"w{n - 1}" if n > 1 else "w").isNotNull(), F.concat_ws(" ", "w", *[f"w{k}" for k in range(1, n)])).alias("f")) for n in sizes])
     return wide.select("unit", "pos", F.explode(F.filter(runs, lambda r: r["f"].isNotNull())).alias("r")).select("unit", "pos", "r.n", "r.f")
 
 
