@@ -31,7 +31,7 @@ from . import common
 NAME = "op1_byte_bpe"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Segments kept per worker.
-CACHE = 250_000
+CACHE = 200_000
 #: Bytes of text of a batch.
 BATCH_BYTES = 4_000_000
 
@@ -162,6 +162,7 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
                     cols += [lists([w[0] for w in where], np.int32), lists([w[1] for w in where], np.int32), lists([w[2] for w in where], np.bool_)]
                     names += ["char_starts", "char_ends", "cuts"]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        common.release()
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, ids array<int>" + ", char_starts array<int>, char_ends array<int>, cuts array<boolean>" * offsets

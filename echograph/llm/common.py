@@ -60,6 +60,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def release() -> None:
+    """Gives memory that Arrow no longer uses in this worker back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 _shipped: set[str] = set()
 
 

@@ -191,6 +191,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 for k, row in enumerate(full):
                     keys[row], values[row] = found[k], small[k].tobytes()
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(both[0]), pa.array(both[1]), pa.array(keys, pa.list_(pa.int64())), pa.array(values, pa.binary())], ["id", "n", "h1", "h2", "keys", "values"])
+        common.release()
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", F.col("text").cast("binary")).mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, keys array<long>, values binary")

@@ -21,9 +21,9 @@ any says so and none says otherwise. Very long texts are scored in slices.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -148,13 +148,21 @@ def tables(counts: DataFrame) -> DataFrame:
     return counts.groupBy("lang").applyInArrow(run, "lang string, table binary, mean double")
 
 
-@lru_cache(SLICE + 1)
-def _opened(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), "<u2").astype(np.float32) / 2048
+#: Tables that this worker has opened, of one set of models at a time.
+_open: dict = {}
+
+
+def _opened(of: int, lang: str, packed: bytes) -> np.ndarray:
+    if _open.get("of") != of:
+        _open.clear()
+        _open["of"] = of
+    if lang not in _open:
+        _open[lang] = np.frombuffer(zlib.decompress(packed), "<u2")
+    return _open[lang]
 
 
 def score_of(text: bytes, table: np.ndarray, mean: float) -> float:
-    total = sum(float(table[g].sum(dtype=np.float64)) for g in grams(text))
+    total = sum(int(table[g].sum(dtype=np.int64)) for g in grams(text)) / 2048
     return round((total + PRIOR * mean) / (len(text) + PRIOR), 4)
 
 
@@ -170,10 +178,12 @@ def _score(df: DataFrame, sent, langs: list[str] | None, text: str, lang: str) -
                 texts, kinds = b.column(names.index(text)), b.column(names.index(lang)).to_pylist()
                 scores, limits = [], []
                 for k, kind in enumerate(kinds):
-                    packed, mean, limit = models.get(kind) or models[ALL]
-                    scores.append(score_of(texts[k].as_buffer().to_pybytes() if texts[k].is_valid else b"", _opened(packed), mean))
+                    name = kind if kind in models else ALL
+                    packed, mean, limit = models[name]
+                    scores.append(score_of(texts[k].as_buffer().to_pybytes() if texts[k].is_valid else b"", _opened(models["of"], name, packed), mean))
                     limits.append(limit)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(limits, pa.float64())], [*names, "score", "limit"])
+        common.release()
 
     mine = F.col(lang).isin(langs) if langs is not None else None
     return (df if mine is None else df.where(mine)).select(*names).mapInArrow(run, schema)
@@ -198,7 +208,7 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     def send(langs: list[str], limits: dict):
         rows = models.where(F.col("lang").isin([*langs, ALL])).collect()
-        return spark.sparkContext.broadcast({r["lang"]: (bytes(r["table"]), r["mean"], limits.get(r["lang"])) for r in rows})
+        return spark.sparkContext.broadcast({"of": uuid.uuid4().int, **{r["lang"]: (bytes(r["table"]), r["mean"], limits.get(r["lang"])) for r in rows}})
 
     slices = [known[i : i + SLICE] for i in range(0, len(known), SLICE)]
 
