@@ -26,7 +26,7 @@ query("bs_cluster", "SELECT round(QUANT(m, 25e-3), 6) AS low, round(QUANT(m, 975
 query("bs_aucdiff", "SELECT round(QUANT(m, 25e-3), 6) AS low, round(QUANT(m, 975e-3), 6) AS high FROM (SELECT rep, avg(CASE WHEN p.score > q.score THEN 1e0 WHEN p.score = q.score THEN 5e-1 ELSE 0e0 END) AS m FROM (SELECT rep, floor(UNIFORM('p' || STR(rep) || ':' || STR(k)) * np) AS ip, floor(UNIFORM('n' || STR(rep) || ':' || STR(k)) * nn) AS iq FROM (SELECT np, nn, k, SEQ(1, 50) AS rep FROM (SELECT np, nn, SEQ(1, 40) AS k FROM (SELECT sum(y) AS np, count(*) - sum(y) AS nn FROM {best}) c1) c0) c) w JOIN (SELECT score, row_number() OVER (ORDER BY unit) - 1 AS i FROM {best} WHERE y = 1) p ON w.ip = p.i JOIN (SELECT score, row_number() OVER (ORDER BY unit) - 1 AS i FROM {best} WHERE y = 0) q ON w.iq = q.i GROUP BY rep) z")
 query("pt_sign", "SELECT round(abs(max(o)), 6) AS observed, round((sum(CASE WHEN abs(m) >= abs(o) - 1e-12 THEN 1e0 ELSE 0e0 END) + 1) / (count(*) + 1), 6) AS p FROM (SELECT rep, avg(CASE WHEN UNIFORM('s:' || STR(rep) || ':' || STR(i)) < 5e-1 THEN d ELSE -d END) AS m, avg(d) AS o FROM (SELECT i, d, SEQ(1, 500) AS rep FROM {lograte}) z GROUP BY rep) v")
 query("pt_cluster", "SELECT round((sum(CASE WHEN abs(m) >= abs(o) - 1e-12 THEN 1e0 ELSE 0e0 END) + 1) / (count(*) + 1), 6) AS p FROM (SELECT rep, sum(CASE WHEN UNIFORM('t:' || STR(rep) || ':' || STR(target)) < 5e-1 THEN d ELSE -d END) AS m, sum(d) AS o FROM (SELECT target, d, SEQ(1, 500) AS rep FROM {clusters}) z GROUP BY rep) v")
-query("pt_random", "SELECT record, min(1 + floor(UNIFORM('r:' || STR(record) || ':' || STR(draw)) * n)) AS best FROM (SELECT g.record, n.n, SEQ(1, 20) AS draw FROM {gold} g CROSS JOIN {n_src} n) z GROUP BY record")
+query("pt_random", "SELECT record, CAST(min(1 + floor(UNIFORM('r:' || STR(record) || ':' || STR(draw)) * n)) AS BIGINT) AS best FROM (SELECT g.record, n.n, SEQ(1, 20) AS draw FROM {gold} g CROSS JOIN {n_src} n) z GROUP BY record")
 derive("pvalues", "SELECT n_regionkey AS family, n_nationkey AS id, UNIFORM('p' || STR(n_nationkey)) / 20 AS p, CASE WHEN n_nationkey % 9 = 0 THEN 0 ELSE 1 END AS live FROM {nation}")
 query("mt_holm", "SELECT id, family, round(max(least(1e0, (m - r + 1) * p)) OVER (PARTITION BY family ORDER BY p, id ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, id) AS r, count(*) OVER (PARTITION BY family) AS m FROM {pvalues} WHERE live = 1) x")
 query("mt_bonf", "SELECT id, live, CASE WHEN live = 1 THEN round(least(1e0, p * sum(live) OVER ()), 6) END AS p_bonferroni FROM {pvalues}")
