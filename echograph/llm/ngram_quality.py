@@ -234,7 +234,7 @@ def score_by_join(df: DataFrame, counts: DataFrame, text: str = "text", key: str
     def spread(group: pa.Table) -> pa.Table:
         c = np.zeros(CELLS, np.int64)
         c[group["gram"].to_numpy()] = group["count"].to_numpy()
-        p = np.minimum(np.round(-kneser_ney(c) * 2048), 65535) / 2048
+        p = np.minimum(np.round(-kneser_ney(c) * 2048), 65535).astype(float) / 2048
         n = CELLS // SYMBOLS
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, CELLS + 1, SYMBOLS, dtype=np.int32)), pa.array(p))
         return pa.table({"l": pa.array(group["lang"].to_pylist()[:1] * n, pa.string()), "context": pa.array(np.arange(n, dtype=np.int32)), "cost": lists})
