@@ -18,7 +18,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,16 +57,8 @@ class ByteBPE:
     """Encoder and decoder of one vocabulary; one per worker process."""
 
     def __init__(self, path: str, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
-
+        self.path, self.pattern = path, pattern
         ranks = read_ranks(path)
-        shown = byte_characters()
-        name = {t: "".join(map(shown.__getitem__, t)) for t in ranks}
-        # every way to make a token of two tokens, in rank order: the pair of lowest rank goes first
-        merges = [(name[t[:i]], name[t[i:]]) for t in sorted(ranks, key=ranks.get) if len(t) > 1 for i in range(len(t) - 1, 0, -1) if t[:i] in ranks and t[i:] in ranks]
-        self.tokenizer = Tokenizer(models.BPE({name[t]: r for t, r in ranks.items()}, merges, ignore_merges=True))
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = max(ranks.values()) + 1
         pieces = [b""] * size
         for t, r in ranks.items():
@@ -77,6 +69,21 @@ class ByteBPE:
         self.first: dict[bytes, bytes] = {}
         self.spaced: dict[bytes, bytes] = {}
 
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer; decoding does without it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+        ranks = read_ranks(self.path)
+        shown = byte_characters()
+        name = {t: "".join(map(shown.__getitem__, t)) for t in ranks}
+        # every way to make a token of two tokens, in rank order: the pair of lowest rank goes first
+        merges = [(name[t[:i]], name[t[i:]]) for t in sorted(ranks, key=ranks.get) if len(t) > 1 for i in range(len(t) - 1, 0, -1) if t[:i] in ranks and t[i:] in ranks]
+        out = Tokenizer(models.BPE({name[t]: r for t, r in ranks.items()}, merges, ignore_merges=True))
+        out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(self.pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return out
+
     def _packed(self, segments: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch([s.decode() for s in segments], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
@@ -148,6 +155,7 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
     common.ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold(NAME, codec.cache_clear)
         c = codec(path, pattern)
         for whole in batches:
             for b in slices(whole, 1, BATCH_BYTES):
@@ -169,32 +177,48 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
     return df.select(F.col(key), F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, key: str = "doc_id", path: str | None = None, pattern: str | None = None, digest: bool = False) -> DataFrame:
-    """key and the decoded bytes; with digest n_tokens, ids_sha256 and decoded_sha256 in their place."""
+def decode(encoded: DataFrame, key: str = "doc_id", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """key and the decoded bytes of key, ids."""
     common.ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold(NAME, codec.cache_clear)
         c = codec(path, pattern)
-        decimals = [b"%d" % i for i in range(len(c.lengths))] if digest else []
-        sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             lists = b.column(1)
             at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            each = [flat[x:y] for x, y in zip(at, at[1:], strict=False)]
-            if digest:
-                cols = [pa.array([len(x) for x in each], pa.int64()), pa.array([sha(b" ".join(map(decimals.__getitem__, x.tolist()))) for x in each], pa.string()), pa.array([sha(c.decode(x)) for x in each], pa.string())]
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
-            else:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(x) for x in each], pa.binary())], [key, "decoded"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(flat[x:y]) for x, y in zip(at, at[1:], strict=False)], pa.binary())], [key, "decoded"])
+        common.release()
 
     kind = encoded.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "decoded binary")
-    return encoded.select(F.col(key), F.col("ids")).mapInArrow(run, schema)
+    return encoded.select(F.col(key), F.col("ids")).mapInArrow(run, f"`{key}` {kind}, decoded binary")
+
+
+def digests(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """key, n_tokens, ids_sha256 and decoded_sha256: encoded and decoded in one worker, so that ids need not leave it."""
+    common.ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold(NAME, codec.cache_clear)
+        c = codec(path, pattern)
+        decimals = [b"%d" % i for i in range(len(c.lengths))]
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for whole in batches:
+            for b in slices(whole, 1, BATCH_BYTES):
+                n, of_ids, of_text = [], [], []
+                for x in b.column(1):
+                    ids = c.encode(x.as_buffer().to_pybytes() if x.is_valid else b"")
+                    n.append(len(ids)), of_ids.append(sha(b" ".join(map(decimals.__getitem__, ids.tolist())))), of_text.append(sha(c.decode(ids)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        common.release()
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again; see the module for nulls and long texts."""
-    return decode(encode(common.table(spark, sf_dir, "documents")), digest=True)
+    return digests(common.table(spark, sf_dir, "documents"))
 
 
 ORACLE_SQL = None

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,10 +64,25 @@ def word_count(text: Column) -> Column:
 
 
 def release() -> None:
-    """Gives memory that Arrow no longer uses in this worker back to the system."""
+    """Gives memory that this worker no longer uses back to the system."""
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+_holder: list = []
+
+
+def hold(owner: str, drop: Callable[[], None]) -> None:
+    """Called as a task begins: a worker keeps the caches of one operator at a time, those of the one before go."""
+    if _holder and _holder[0] != owner:
+        _holder[1]()
+        gc.collect()
+        release()
+    _holder[:] = [owner, drop]
 
 
 _shipped: set[str] = set()

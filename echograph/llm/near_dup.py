@@ -45,8 +45,8 @@ SLOTS = BANDS * ROWS
 ALL_PAIRS = 64
 ROUNDS = 2
 ESTIMATE = 0.625
-CHUNK_BYTES = 2_000_000
-CHUNK_ELEMENTS = 60_000
+CHUNK_BYTES = 1_000_000
+CHUNK_ELEMENTS = 40_000
 
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
@@ -64,6 +64,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _drop() -> None:
+    _powers.clear()
+
+
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
@@ -177,6 +181,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold(NAME, _drop)
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
                 b = whole.slice(i, 1000)
@@ -208,6 +213,7 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(b.num_rows, SLOTS) for k in (2, 3))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= ESTIMATE))
+        common.release()
 
     kind = pairs.schema["a"].dataType.simpleString()
     return both.select("a", "b", "va", "vb").mapInArrow(run, f"a {kind}, b {kind}")
@@ -221,6 +227,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = need.join(wanted, "id").groupBy("a", "b").agg(F.min_by("text", "id").alias("ta"), F.max_by("text", "id").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold(NAME, _drop)
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
@@ -228,6 +235,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 common_ = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)]
                 good = [100 * c >= PERCENT * (len(p) + len(q) - c) for c, p, q in zip(common_, x, y, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        common.release()
 
     kind = pairs.schema["a"].dataType.simpleString()
     return both.select("a", "b", F.col("ta").cast("binary"), F.col("tb").cast("binary")).mapInArrow(run, f"a {kind}, b {kind}")

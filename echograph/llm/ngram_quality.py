@@ -106,6 +106,7 @@ def count(trusted: DataFrame) -> DataFrame:
     common.ship(trusted.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold(NAME, _drop)
         held: dict[str, np.ndarray] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -124,6 +125,7 @@ def count(trusted: DataFrame) -> DataFrame:
                     for g in grams(b.column(1)[i].as_buffer().to_pybytes()):
                         np.add.at(c, g, 1)
         yield from flush()
+        common.release()
 
     found = trusted.select(F.col("lang").cast("string"), F.col("text").cast("binary")).mapInArrow(run, "lang string, gram int, count long")
     return found.groupBy("lang", "gram").agg(F.sum("count").alias("count"))
@@ -138,6 +140,7 @@ def tables(counts: DataFrame) -> DataFrame:
     """lang, table (zlib of -log p * 2048 in 16 bits) and mean score; a group has CELLS rows at most."""
 
     def run(group: pa.Table) -> pa.Table:
+        common.hold(NAME, _drop)
         c = np.zeros(CELLS, np.int64)
         c[group["gram"].to_numpy()] = group["count"].to_numpy()
         small = np.minimum(np.round(-kneser_ney(c) * 2048), 65535).astype("<u2")
@@ -152,6 +155,10 @@ def tables(counts: DataFrame) -> DataFrame:
 _open: dict = {}
 
 
+def _drop() -> None:
+    _open.clear()
+
+
 def _opened(of: int, lang: str, packed: bytes) -> np.ndarray:
     if _open.get("of") != of:
         _open.clear()
@@ -172,6 +179,7 @@ def _score(df: DataFrame, sent, langs: list[str] | None, text: str, lang: str) -
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema) + ", score double, limit double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold(NAME, _drop)
         models = sent.value
         for whole in batches:
             for b in slices(whole, names.index(text), BATCH_BYTES):

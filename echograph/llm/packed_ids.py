@@ -143,6 +143,7 @@ def write(df: DataFrame, folder: str, text: str = "text", key: str = "doc_id", p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        common.hold(NAME, encoder.cache_clear)
         part, e, end = TaskContext.get().partitionId(), encoder(path), np.array([end_id], "<u4").tobytes()
         block = first = n = 0
         keys: list = []

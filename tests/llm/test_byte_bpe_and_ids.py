@@ -23,7 +23,7 @@ def test_encoding_equals_tiktoken(spark):
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path(bpe.VOCABULARY)), special_tokens={})
     got = {r.doc_id: r for r in bpe.encode(documents(spark), offsets=True).collect()}
     back = {r.doc_id: bytes(r.decoded) for r in bpe.decode(bpe.encode(documents(spark))).collect()}
-    digest = {r.doc_id: r for r in bpe.decode(bpe.encode(documents(spark)), digest=True).collect()}
+    digest = {r.doc_id: r for r in bpe.digests(documents(spark)).collect()}
     for i, t in enumerate(TEXTS):
         ids = own.encode_ordinary(t or "")
         assert got[i].ids == ids and back[i] == (t or "").encode()
