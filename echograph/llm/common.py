@@ -21,6 +21,8 @@ GAP = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 50_000
 #: The same for a table of one id column.
 BROADCAST_IDS = 1_000_000
+#: Rows of an Arrow batch at most: executor and worker each hold one, whole texts included.
+ARROW_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,7 +91,9 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers; a no-op where PYTHONPATH or the working folder has it."""
+    """Readies a session for Python workers: short Arrow batches, and this package importable where PYTHONPATH or the working folder lack it."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     root = Path(__file__).resolve().parents[2]
     seen = [Path(p or ".").resolve() for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep))]
     app = spark.sparkContext.applicationId
