@@ -105,9 +105,15 @@ class WordEncoder:
             ids = np.array(found.ids, "<u4").tobytes()
             self.pieces.update((p, ids[x:y]) for p, x, y in zip(some, at, at[1:], strict=False))
 
+    def _cut(self, run: str) -> list[str] | None:
+        """The pieces of a run of plain characters; None: left to the tokenizer."""
+        if self.known and run.isascii() and run.isalpha():
+            return [run.lower()]
+        return PIECE.findall(run.lower()) if self.known and PLAIN.fullmatch(run) else None
+
     def _new(self, runs: list[bytes]) -> dict[bytes, bytes]:
         texts = [r.decode() for r in runs]
-        cut = [PIECE.findall(t.lower()) if self.known and PLAIN.fullmatch(t) else None for t in texts]
+        cut = [self._cut(t) for t in texts]
         missing = {p for c in cut if c for p in c if p not in self.pieces}
         if len(self.pieces) + len(missing) > CACHE:
             self.pieces.clear()
@@ -120,10 +126,10 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; what is new in them is encoded together."""
         cut = [t.split() for t in texts]
-        new = list({p for parts in cut for p in parts if p not in self.cache})
+        new = list(set().union(*cut).difference(self.cache))
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
-            new = list({p for parts in cut for p in parts})
+            new = list(set().union(*cut))
         self.cache.update(self._new(new))
         return [b"".join(map(self.cache.__getitem__, parts)) for parts in cut]
 
