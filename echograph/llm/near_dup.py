@@ -11,7 +11,10 @@ runs of non-white-space). Two documents are linked where 100 * |intersection| >=
    classes the one whose buckets are fullest (the text that the copies were made of), else the least
    id. In buckets of up to ALL_PAIRS classes all pairs that this leaves in different groups follow: at
    most ALL_PAIRS rows a member. In larger ones, as long as members outside the centre's group are
-   left, the centre of these is compared with all, for ROUNDS rounds.
+   left, the centre of these is compared with all, for ROUNDS rounds; whatever members are then outside
+   the largest group of their bucket are compared with all of it, in blocks of BLOCK, but for pairs of
+   one group. Only pairs that pass step 4 leave the blocks; the comparisons themselves grow with
+   members outside times members.
 4. Candidates whose signatures agree in under ESTIMATE of their values go (4 standard deviations
    below 0.75); all others are verified on the full sets of their texts.
 5. Links become groups: union-find inside each task, then rounds of hooking smaller labels between
@@ -44,6 +47,7 @@ BANDS, ROWS = 48, 4
 SLOTS = BANDS * ROWS
 ALL_PAIRS = 64
 ROUNDS = 2
+BLOCK = 512
 ESTIMATE = 0.625
 CHUNK_BYTES = 1_000_000
 CHUNK_ELEMENTS = 40_000
@@ -289,6 +293,52 @@ def _centred(large: DataFrame) -> DataFrame:
     return large.join(full, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", (-F.col("id")).alias("low"))).alias("centre"))
 
 
+def _blocks(left: DataFrame, marked: DataFrame, sigs: DataFrame) -> DataFrame:
+    """a, b, x, other, same: pairs of a member x of left (key, id, label) and a member of another group (label other) of its bucket in marked, if their signatures agree in `same` values, enough for ESTIMATE."""
+    counts = marked.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("nj")).join(left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("ni")), "key")
+    side = lambda df, own, other, n, m: (
+        df.join(counts, "key").join(sigs.select("id", "n", "values"), "id").withColumn(own, F.pmod(F.xxhash64("id"), F.col(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))).select(*[F.col(c).alias(c) for c in ("key", "i", "j", "id", "label", "n", "values")])  # aliases keep the sides of cogroup() apart
+    )
+    kind = marked.schema["id"].dataType.simpleString()
+
+    def run(xs: pa.Table, ys: pa.Table) -> pa.Table:
+        ids, labels, sizes = ([t[c].to_numpy() for t in (xs, ys)] for c in ("id", "label", "n"))
+        v, w = (np.frombuffer(b"".join(t["values"].to_pylist()), np.uint16).reshape(-1, SLOTS) for t in (xs, ys))
+        found = []
+        for k in range(len(v)):
+            at = np.flatnonzero((labels[1] != labels[0][k]) & (sizes[1] * 100 >= sizes[0][k] * PERCENT) & (sizes[0][k] * 100 >= sizes[1] * PERCENT))
+            same = np.count_nonzero(w[at] == v[k], axis=1)
+            good = same >= ESTIMATE * SLOTS
+            at = at[good]
+            x, y = np.full(len(at), ids[0][k]), ids[1][at]
+            found.append((np.minimum(x, y), np.maximum(x, y), x, labels[1][at], same[good].astype(np.int64)))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 5
+        return pa.table([pa.array(c, xs.schema.field("id").type if k < 4 else pa.int64()) for k, c in enumerate(columns)], ["a", "b", "x", "other", "same"])
+
+    met = side(left, "i", "j", "ni", "nj").groupBy("key", "i", "j").cogroup(side(marked, "j", "i", "nj", "ni").groupBy("key", "i", "j"))
+    return met.applyInArrow(run, f"a {kind}, b {kind}, x {kind}, other {kind}, same long").distinct()
+
+
+def _rest(large: DataFrame, labels: DataFrame, tried: DataFrame, sigs: DataFrame, docs: DataFrame, links: DataFrame) -> DataFrame:
+    """links with those of all pairs of large buckets that labels has in different groups."""
+    marked = large.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    sizes = marked.groupBy("key", "label").agg(F.count("*").alias("size"))
+    heads = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", (-F.col("label")).alias("low"))).alias("head"))
+    left = common.written(marked.join(heads, "key").where("label <> head").select("key", "id", "label"), "left")
+    if not left.limit(1).count():
+        return links
+    pairs = common.written(_blocks(left, marked.join(left.select("key").distinct(), "key", "left_semi"), sigs).join(tried, ["a", "b"], "left_anti"), "candidates")
+    # the likeliest pair of a member and a group first: what it links need not be verified again
+    best = common.written(pairs.groupBy("x", "other").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "candidates")
+    fresh = common.written(_verified(best, docs), "links")
+    links = links.unionByName(fresh)
+    if fresh.limit(1).count():
+        labels = groups(links)
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias("l" + c))
+    more = pairs.select("a", "b").distinct().join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(la, a) <> coalesce(lb, b)")
+    return links.unionByName(common.written(_verified(common.written(more.select("a", "b"), "candidates"), docs), "links"))
+
+
 def _ordered(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
@@ -310,10 +360,12 @@ def detect(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     marked = small.where("count > 2").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     apart = marked.alias("x").join(marked.alias("y"), F.expr("x.key = y.key and x.id < y.id and x.label <> y.label")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     links = links.unionByName(common.written(_verified(common.written(_agreeing(apart, sigs).join(tried, ["a", "b"], "left_anti"), "candidates"), docs), "links"))
-    for _ in range(ROUNDS if large.limit(1).count() else 0):
+    some = large
+    any_large = bool(large.limit(1).count())
+    for _ in range(ROUNDS if any_large else 0):
         labels = groups(links)
         # what is left of a large bucket: members outside the group of its centre
-        marked = large.join(labels, "id", "left").select("key", "id", "count", F.coalesce("label", "id").alias("label"))
+        marked = some.join(labels, "id", "left").select("key", "id", "count", F.coalesce("label", "id").alias("label"))
         heads = centres.join(labels.select(F.col("id").alias("centre"), F.col("label").alias("head")), "centre", "left").select("key", F.coalesce("head", "centre").alias("head"))
         left = common.written(marked.join(heads, "key").where("label <> head").select("key", "id", "count"), "left")
         if not left.limit(1).count():
@@ -321,11 +373,14 @@ def detect(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         more = _centred(left)
         others = _agreeing(_ordered(marked.select("key", "id").join(more, "key"), "id", "centre"), sigs).join(tried, ["a", "b"], "left_anti")
         fresh = common.written(_verified(common.written(others, "candidates"), docs), "links")
-        large, centres = left, more
+        some, centres = left, more
         if not fresh.limit(1).count():
             break
         links = links.unionByName(fresh)
-    labels = groups(links)
+    else:
+        labels = groups(links)
+    if any_large:
+        labels = groups(_rest(large, labels, tried, sigs, docs, links))
     known = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("label", "rep").alias("component_id"))
     out = sets.select("id", "n", "h1", "h2").join(known, ["h1", "h2", "n"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
