@@ -2,11 +2,12 @@
 
 A page becomes a list of blocks at its block-level tags. Scripts, styles, comments and the head are
 no text at all; blocks inside menus, page headers, footers, sidebars, notices, adverts, forms and
-reader comments (by tag, role, class or id) weigh nothing. Lengths of the other text outside links
+reader comments (by tag, role, class or id) are left out. Lengths of the other text outside links
 are summed over a window of three blocks; the text between the surge point, where the sum rises, and
-the dive point, where it falls to nothing, is a candidate, and the one with most text is the main
-text. Where a page marks its article itself, all of the marked blocks are joined by the region, so
-that short paragraphs at its edges stay.
+the dive point, where it falls to nothing, is a region. The one with most text is the main text, from
+the first to the last region that has text directly in one of its containers: a list of links in
+between does not end it. Where a page marks articles itself, all of the marked blocks are the main
+text, so that short paragraphs at the edges stay.
 
 Null or empty html: empty text. Broken markup is read as far as it goes. Rows are independent:
 repeated pages give repeated rows, and columns other than key, url and html are not carried.
@@ -46,6 +47,8 @@ NOISE = re.compile(
 NAMED = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
 #: A paragraph ends where one of these begins.
 CLOSES_P = BLOCKS - {"html", "body", "head"}
+#: Blocks that are text, not containers of text.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6".split())
 
 
 def _noise(tag: str, attr: str, inside: bool) -> bool:
@@ -60,20 +63,21 @@ def _noise(tag: str, attr: str, inside: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool]]:
-    """Blocks in page order: text, its length outside links, the number of its marked article (0: none), noise."""
-    out: list[tuple[str, int, int, bool]] = []
+def blocks(page: str) -> list[tuple[str, int, int, bool, int]]:
+    """Blocks in page order: text, its length outside links, the number of its marked article (0: none), noise, the number of its container (0: the page)."""
+    out: list[tuple[str, int, int, bool, int]] = []
     words: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int]] = []  # open elements: tag, noise from here on, article
+    stack: list[tuple[str, bool, int, int]] = []  # open elements: tag; noise, article and container around it
     noise, article, links, articles, in_head = False, 0, 0, 0, False
+    container, containers = 0, 0
 
     def flush() -> None:
         nonlocal words, linked
         if words:
             text = " ".join(entities.unescape("".join(words)).split())
             if text:
-                out.append((text, max(0, len(text) - linked), article, noise))
+                out.append((text, max(0, len(text) - linked), article, noise, container))
             words, linked = [], 0
 
     at = 0
@@ -99,7 +103,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
             continue
         if tag == "body":
             in_head = False
-        if tag not in BLOCKS and not (attr and not closing and tag not in VOID and _noise(tag, attr, bool(article))) and not (closing and any(t == tag for t, _, _ in stack)):
+        if tag not in BLOCKS and not (attr and not closing and tag not in VOID and _noise(tag, attr, bool(article))) and not (closing and any(t == tag for t, *_ in stack)):
             continue
         if tag in BLOCKS or not closing:
             flush()
@@ -107,7 +111,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     flush()
-                    _, noise, article = stack[i]
+                    _, noise, article, container = stack[i]
                     del stack[i:]
                     links = 0
                     break
@@ -117,16 +121,19 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
             if tag in CLOSES_P:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
-                        _, noise, article = stack[i]
+                        _, noise, article, container = stack[i]
                         del stack[i:]
                         break
                     if stack[i][0] in ("td", "th", "div", "article", "main", "section", "li", "body"):
                         break
             if tag in ("html", "body", "p") and not attr:
                 if tag == "p":
-                    stack.append((tag, noise, article))
+                    stack.append((tag, noise, article, container))
                 continue
-            stack.append((tag, noise, article))
+            stack.append((tag, noise, article, container))
+            if tag in BLOCKS and tag not in LINES:
+                containers += 1
+                container = containers
             if not noise and tag in OUTER and not article:
                 articles += 1
                 article = articles
@@ -138,8 +145,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page) if page else []
-    weight = [0 if noise else n for _, n, _, noise in found]
+    found = [b for b in blocks(page) if not b[3]] if page else []
+    weight = [b[1] for b in found]
     sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
     regions, start = [], None  # between surge and dive: first, after last
     for i, s in enumerate([*sums, 0]):
@@ -150,17 +157,13 @@ def main_text(page: str | None) -> str:
             start = None
     if not regions:
         return ""
-    marked = {}
-    for i, (_, _, article, noise) in enumerate(found):
-        if article and not noise:
-            marked[article] = marked.get(article, 0) + weight[i]
+    marked = [b[0] for b in found if b[2]]
     if marked:
-        best = max(marked, key=lambda a: (marked[a], -a))
-        keep = [text for text, _, article, noise in found if article == best and not noise]
-    else:
-        a, b = max(regions, key=lambda r: (sum(weight[r[0] : r[1]]), -r[0]))
-        keep = [text for text, _, _, noise in found[a:b] if not noise]
-    return "\n".join(keep)
+        return "\n".join(marked)
+    held = [{found[i][4] for i in range(a, b) if weight[i]} for a, b in regions]
+    best = max(range(len(regions)), key=lambda k: (sum(weight[slice(*regions[k])]), -k))
+    same = [r for r, h in zip(regions, held, strict=True) if h & held[best]]
+    return "\n".join(b[0] for b in found[same[0][0] : same[-1][1]])
 
 
 def extract(df: DataFrame, html: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:

@@ -72,6 +72,20 @@ def test_main_text(body):
     assert html_text.main_text(PAGE % body) == "One & two\nFirst line goes on.\nSecond bold."
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<div><p>A<p>B<aside><p>x<p>y<p>z</aside><p>C</div>", "A\nB\nC"),
+        ('<div><p>A<p>B<div class="ad"><p>x<p>y<p>z<p>u</div><p>C</div>', "A\nB\nC"),
+        ("<div><p>A<p>B<form><p>x<p>y<p>z</form><p>C<p>D</div>", "A\nB\nC\nD"),
+        ('<div><p>A<p>B<ul><li><a href="/x">x</a><li><a href="/y">y</a><li><a href="/z">z</a></ul><p>C</div>', "A\nB\nx\ny\nz\nC"),
+        ("<article><p>A long first part</article><p>between<article><p>B</article>", "A long first part\nB"),
+    ],
+)
+def test_noise_in_mid_text(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_pages_of_all_kinds(spark):
     pages = [(1, "u", PAGE % "<article><p>x</p></article>"), (2, None, None), (3, "", ""), (4, "u", "<p>cut <b"), (5, "u", "plain words"), (6, "u", "<!-- open"), (None, "u", "<p>a</p>"), (1, "u", PAGE % "<article><p>x</p></article>")]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, text string")
