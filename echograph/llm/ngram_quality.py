@@ -12,7 +12,7 @@ the sharded tables, which moves several times the input.
 A document's score is its negative log-likelihood per symbol, shrunk towards its language's mean by
 PRIOR symbols; its perplexity is the exponential. Documents whose score exceeds SLACK times the
 QUANTILE of the trusted scores of their language are rejected. Languages without trusted text, null
-among them, are judged by a model of all trusted text.
+among them, are judged by a model of all trusted text, that of null language too.
 
 Null and empty texts score the mean and are kept. No trusted text at all: everything is kept, with
 null scores. Repeated rows count each time. Label rows of one document may repeat: it is trusted if
@@ -102,12 +102,12 @@ def kneser_ney(counts: np.ndarray) -> np.ndarray:
 
 
 def count(trusted: DataFrame) -> DataFrame:
-    """lang, gram, count of (lang, text)."""
+    """lang (null too), gram, count of (lang, text)."""
     common.ship(trusted.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.hold(NAME, _drop)
-        held: dict[str, np.ndarray] = {}
+        held: dict[str | None, np.ndarray] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, c in held.items():
@@ -118,7 +118,7 @@ def count(trusted: DataFrame) -> DataFrame:
         for b in batches:
             langs = b.column(0).to_pylist()
             for i, lang in enumerate(langs):
-                if lang is not None and b.column(1)[i].is_valid:
+                if b.column(1)[i].is_valid:
                     if lang not in held and len(held) >= 4:
                         yield from flush()
                     c = held.setdefault(lang, np.zeros(CELLS, np.int64))
@@ -132,8 +132,8 @@ def count(trusted: DataFrame) -> DataFrame:
 
 
 def with_all(counts: DataFrame) -> DataFrame:
-    """counts, and those of all languages together under `*`."""
-    return counts.unionByName(counts.groupBy("gram").agg(F.sum("count").alias("count")).select(F.lit(ALL).alias("lang"), "gram", "count"))
+    """counts of the known languages, and those of all texts together under `*`."""
+    return counts.where("lang is not null").unionByName(counts.groupBy("gram").agg(F.sum("count").alias("count")).select(F.lit(ALL).alias("lang"), "gram", "count"))
 
 
 def tables(counts: DataFrame) -> DataFrame:
@@ -210,8 +210,9 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     trusted = df.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(common.bounded(ids, common.BROADCAST_IDS), F.col("id") == F.col("trusted_id"), "left_semi")
     counts = common.written(with_all(count(trusted)), "gram-counts")
     models = common.written(tables(counts), "gram-tables")
-    known = sorted(r[0] for r in models.select("lang").collect() if r[0] != ALL)
-    if not known:
+    found = [r[0] for r in models.select("lang").collect()]
+    known = sorted(x for x in found if x != ALL)
+    if not found:
         return df.withColumn("score", F.lit(None).cast("double")).withColumn("limit", F.lit(None).cast("double")).withColumn("kept", F.lit(True))
 
     def send(langs: list[str], limits: dict):
