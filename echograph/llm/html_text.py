@@ -1,16 +1,23 @@
 """Main text of web pages by line-block distribution.
 
-A page becomes a list of blocks at its block-level tags. Scripts, styles, comments and the head are
-no text at all; blocks inside menus, page headers, footers, sidebars, notices, adverts, forms and
-reader comments (by tag, role, class or id) are left out. Lengths of the other text outside links
-are summed over a window of three blocks; the text between the surge point, where the sum rises, and
-the dive point, where it falls to nothing, is a region. The one with most text is the main text, from
-the first to the last region that has text directly in one of its containers: a list of links in
-between does not end it. Where a page marks articles itself, all of the marked blocks are the main
-text, so that short paragraphs at the edges stay.
-
-Null or empty html: empty text. Broken markup is read as far as it goes. Rows are independent:
-repeated pages give repeated rows, and columns other than key, url and html are not carried.
+A page becomes a list of blocks at its block-level tags. Scripts, styles, comments, the head and form
+controls are no text at all. A block's weight is the length of its text outside links. Blocks inside
+menus, page headers, footers, sidebars, notices, adverts, forms and reader comments are left out first:
+tags and roles say so for certain, names of class and id only where the element does not hold the page's
+article or title, or without these nearly all of its text.
+
+Weights are summed over a sliding window of three blocks. A region runs from the surge point, where the
+sum leaves nothing, to the dive point, where it falls back to nothing; the region with most text holds
+the main text. Its container is then widened: to the element around it as long as more prose stands
+there, up to the article or main element, else below the body. What the container holds between its
+first and its last block is the main text, short lines and link lists in between included; where text
+stands in the body itself, all from the first to the last region that has text directly in a
+container of the best one is. Marked articles beside each other are taken together.
+
+Null or empty html, and pages without text outside what is left out: empty text. Where all text is in
+links, links weigh as text. Equal regions: the first. Broken markup is read as far as it goes, and the
+time is linear in the page: a quote that never closes ends nothing, a `<` without `>` is text. Rows are
+independent: repeated pages give repeated rows, and columns other than key, url and html are not carried.
 """
 
 from __future__ import annotations
@@ -27,75 +34,160 @@ from . import common
 
 NAME = "op7_html_text"
 WINDOW = 3
+#: On a page without article, main and h1, an element that only its name calls noise is noise up to this part of the page's text.
+HINTED = 0.9
+#: Length of a block that is prose without a full stop.
+LONG = 80
+#: Containers inside each other that are told apart; deeper ones count as the one at this depth.
+DEPTH = 100
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|select|svg|math|iframe|object|title|button)\b(?P<rawattr>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?>[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attr2>[^>]*)>",
-    re.S | re.I,
-)
+#: Elements whose content is no running text.
+RAW = frozenset("script style noscript template textarea select svg iframe object title".split())
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = frozenset("nav footer aside form menu dialog".split())
 OUTER = frozenset("article main".split())
+#: End tags close nothing beyond these.
+BARRIERS = ASIDE | OUTER | {"td", "th"}
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|side-?bar|menu|nav(?:bar|igation)?|breadcrumbs?|footer|header|page-?header|site-?header|masthead|topbar|cookies?|consent|gdpr|notice|alert|newsletter|subscribe|signup|popup|modal|overlay|comments?|disqus|replies|respond|share|sharing|social|related|recommended|widget|pagination|pager)(?=$|[\s_-]|\d)",
-    re.I,
+#: Parts of class and id names that call an element noise, and parts that say nothing either way.
+NOISE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice alert newsletter subscribe signup popup modal overlay comment comments disqus replies respond share sharing social related recommended widget widgets pagination pager".split()
 )
-NAMED = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
+NEUTRAL = frozenset("side bar page site top bottom left right main box block wrap wrapper container content area section slot unit list items item inner outer links link bar row col panel posts articles stories news form thread feed buttons icons js".split())
+DENIALS = frozenset("no not non has with without".split())
+NAMED = re.compile(r"\b(class|id|role)\b\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))", re.I)
+PROSE = re.compile(r"[.!?…。！？:;][\"'”’»)\]]*$")
 #: A paragraph ends where one of these begins.
 CLOSES_P = BLOCKS - {"html", "body", "head"}
 #: Blocks that are text, not containers of text.
 LINES = frozenset("p h1 h2 h3 h4 h5 h6".split())
+#: Inside running text names of these tell of style, not of noise.
+INLINE = frozenset("p b i em strong span h1 h2 h3".split())
+
+
+def called_noise(name: str) -> bool:
+    """Whether a class or id says noise: its last part does, or all parts do or say nothing and one does."""
+    for word in name.lower().split():
+        parts = [p for p in re.split(r"[-_]+|(?<=\D)(?=\d)", word) if p and not p.isdigit()]
+        if parts and not any(p in DENIALS for p in parts) and (parts[-1] in NOISE or any(p in NOISE for p in parts) and all(p in NOISE or p in NEUTRAL for p in parts)):
+            return True
+    return False
 
 
-def _noise(tag: str, attr: str, inside: bool) -> bool:
-    """inside: within the marked article, where a header holds its title."""
+def _noise(tag: str, attr: str, inside: bool) -> tuple[bool, bool]:
+    """Noise for certain, noise by its name. inside: within an article, where a header holds its title."""
     if tag in ASIDE or (tag == "header" and not inside):
-        return True
-    if attr and tag not in ("html", "body", "article", "main"):
+        return True, False
+    hinted = False
+    if attr and tag not in ("html", "body", "main"):
         for name, a, b, c in NAMED.findall(attr):
             value, name = a or b or c, name.lower()
-            if name == "role" and value.lower() in ROLES or name in ("class", "id") and NOISE.search(value) and not (inside and tag in ("p", "b", "i", "em", "strong", "h1", "h2", "h3", "span")):
-                return True
-    return False
+            if name == "role" and value.lower() in ROLES:
+                return True, False
+            hinted = hinted or name != "role" and not (inside and tag in INLINE) and called_noise(value)
+    return False, hinted
+
+
+def tokens(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(text before a tag, whether it closes, tag, attributes) in page order; the tag is empty for the text at the end."""
+    at, start, n = 0, 0, len(page)
+    tag_of, open_raw = TAG, set()
+    while True:
+        i = page.find("<", at)
+        if i < 0:
+            break
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            yield page[start:i], False, "", ""
+            start = at = n if end < 0 else end + 3
+            continue
+        if page[i + 1 : i + 2] in ("!", "?"):
+            end = page.find(">", i)
+            yield page[start:i], False, "", ""
+            start = at = n if end < 0 else end + 1
+            continue
+        m = None
+        if page[i + 1 : i + 2] == "/" or page[i + 1 : i + 2].isalpha():
+            m = tag_of.match(page, i)
+            if m is None and tag_of is TAG and page[i + 1 : i + 3].strip("/")[:1].isalpha():
+                tag_of = BARE_TAG  # a quote stays open to the end: from here on quotes do not count
+                m = tag_of.match(page, i)
+            if m is None and tag_of is BARE_TAG and page.find(">", i) < 0:
+                break  # no tag ends any more
+        if m is None:
+            at = i + 1
+            continue
+        closing, tag, attr = m[1] == "/", m[2].lower(), m[3]
+        yield page[start:i], closing, tag, attr
+        start = at = m.end()
+        if tag in RAW and not closing and not attr.endswith("/") and tag not in open_raw:
+            end = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
+            if end:
+                start = at = end.end()
+            elif tag in ("script", "style"):
+                start = at = n
+            else:
+                open_raw.add(tag)  # never closed: its content is read as text
+    yield page[start:], False, "", ""
+
+
+class Element:
+    """An open container: the one around it, its depth, what its names say, what it holds."""
+
+    __slots__ = ("up", "tag", "depth", "hinted", "titled", "weight", "flag")
+
+    def __init__(self, up: Element | None, tag: str, hinted: bool, titled: bool = False):
+        self.up, self.tag, self.hinted, self.titled, self.weight, self.flag = up, tag, hinted, titled, 0, False
+        self.depth = up.depth + 1 if up else 0
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, int]]:
-    """Blocks in page order: text, its length outside links, the number of its marked article (0: none), noise, the number of its container (0: the page)."""
-    out: list[tuple[str, int, int, bool, int]] = []
+def blocks(page: str) -> tuple[list[tuple[str, int, bool, Element]], list[Element]]:
+    """Blocks in page order (text, its length outside links, whether it is noise for certain, the element that holds it), and the elements, outer ones first."""
+    out: list[tuple[str, int, bool, Element]] = []
     words: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool, int, int]] = []  # open elements: tag; noise, article and container around it
-    noise, article, links, articles, in_head = False, 0, 0, 0, False
-    container, containers = 0, 0
+    linked = links = inside = 0
+    in_head = noise = False
+    here = Element(None, "", False)
+    elements = [here]
+    stack: list[tuple[str, bool, Element, int]] = []  # open elements: tag; noise, element and marks around it
+    scopes: list[dict[str, int]] = [{}]  # how many of a tag are open, within the innermost article or aside
 
     def flush() -> None:
         nonlocal words, linked
         if words:
             text = " ".join(entities.unescape("".join(words)).split())
             if text:
-                out.append((text, max(0, len(text) - linked), article, noise, container))
+                out.append((text, max(0, len(text) - linked), noise, here))
             words, linked = [], 0
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at and not in_head:
-            some = page[at : m.start()]
+    def close(tag: str) -> None:
+        """Closes the innermost open `tag` of this scope and all that is open inside it."""
+        nonlocal noise, here, inside
+        while True:
+            t, noise, here, inside = stack.pop()
+            if t in BARRIERS:
+                scopes.pop()
+            else:
+                scopes[-1][t] -= 1
+            if t == tag:
+                return
+
+    for some, closing, tag, attr in tokens(page):
+        if some and not in_head:
             words.append(some)
             if links:
                 linked += len(some)
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
-        if tag is None:
+        if not tag:
             continue
-        tag, closing, attr = tag.lower(), bool(m["end"] or m["end2"]), m["attr"] if m["tag"] else m["attr2"]
         if tag == "br":
             words.append(" ")
             continue
-        if tag == "a":
+        if tag in ("a", "button"):
             links = 0 if closing else 1
             continue
         if tag == "head":
@@ -103,67 +195,119 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int]]:
             continue
         if tag == "body":
             in_head = False
-        if tag not in BLOCKS and not (attr and not closing and tag not in VOID and _noise(tag, attr, bool(article))) and not (closing and any(t == tag for t, *_ in stack)):
-            continue
-        if tag in BLOCKS or not closing:
-            flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    flush()
-                    _, noise, article, container = stack[i]
-                    del stack[i:]
-                    links = 0
-                    break
-                if stack[i][0] in OUTER or stack[i][0] in ASIDE:
-                    break  # a stray end tag closes nothing beyond its container
-        elif tag not in VOID and not attr.endswith("/"):
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        _, noise, article, container = stack[i]
-                        del stack[i:]
-                        break
-                    if stack[i][0] in ("td", "th", "div", "article", "main", "section", "li", "body"):
-                        break
-            if tag in ("html", "body", "p") and not attr:
-                if tag == "p":
-                    stack.append((tag, noise, article, container))
-                continue
-            stack.append((tag, noise, article, container))
-            if tag in BLOCKS and tag not in LINES:
-                containers += 1
-                container = containers
-            if not noise and tag in OUTER and not article:
-                articles += 1
-                article = articles
-            noise = noise or _noise(tag, attr, bool(article))
-    if at < len(page) and not in_head:
-        words.append(page[at:])
+            if tag in BLOCKS:
+                flush()
+            if scopes[-1].get(tag):  # a stray end tag closes nothing beyond its container
+                flush()
+                close(tag)
+                links = 0
+            continue
+        if tag in VOID or attr.endswith("/"):
+            if tag in BLOCKS:
+                flush()
+            continue
+        sure, hinted = _noise(tag, attr, bool(inside)) if attr or tag in ASIDE or tag == "header" else (False, False)
+        if tag not in BLOCKS and not sure and not hinted:
+            continue
+        flush()
+        if tag in CLOSES_P and scopes[-1].get("p"):
+            close("p")
+        if tag in ("html", "body"):
+            continue
+        stack.append((tag, noise, here, inside))
+        if tag in BARRIERS:
+            scopes.append({tag: 1})
+        else:
+            scopes[-1][tag] = scopes[-1].get(tag, 0) + 1
+        if (hinted or tag in BLOCKS and tag not in LINES) and here.depth < DEPTH:
+            here = Element(here, tag, hinted, tag in OUTER and not inside and not hinted)
+            elements.append(here)
+        elif tag == "h1":
+            here.titled = True
+        if tag in OUTER:
+            inside += 1
+        noise = noise or sure
     flush()
+    return out, elements
+
+
+def _common(a: Element, b: Element) -> Element:
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+    return a
+
+
+def regions(weight: list[int]) -> list[tuple[int, int]]:
+    """(first, after last) of the runs of blocks between surge and dive points, without weightless blocks at their ends."""
+    out, start, last = [], None, 0
+    for i, w in enumerate(weight):
+        if w:
+            if start is not None and i - last > WINDOW:  # a whole window without text lies between
+                out.append((start, last + 1))
+                start = None
+            start = i if start is None else start
+            last = i
+    if start is not None:
+        out.append((start, last + 1))
     return out
 
 
+def _drop_hinted(found: list, elements: list[Element]) -> list:
+    """Without blocks inside elements that their names call noise, but for those that hold the page's article, title or nearly all text."""
+    for _, w, _, e in found:
+        e.weight += w
+    for e in reversed(elements[1:]):
+        e.up.weight += e.weight
+        e.up.titled = e.up.titled or e.titled
+    most = elements[0].weight if elements[0].titled else HINTED * elements[0].weight
+    for e in elements[1:]:
+        e.flag = e.up.flag or e.hinted and not e.titled and e.weight <= most
+    return [b for b in found if not b[3].flag]
+
+
 def main_text(page: str | None) -> str:
-    found = [b for b in blocks(page) if not b[3]] if page else []
+    if not page:
+        return ""
+    found, elements = blocks(page)
+    found = _drop_hinted([b for b in found if not b[2]], elements)
     weight = [b[1] for b in found]
-    sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    regions, start = [], None  # between surge and dive: first, after last
-    for i, s in enumerate([*sums, 0]):
-        if start is None and s > 0:
-            start = i
-        elif start is not None and s == 0:
-            regions.append((start, i))
-            start = None
-    if not regions:
+    if not any(weight):
+        weight = [len(b[0]) for b in found]
+    runs = regions(weight)
+    if not runs:
         return ""
-    marked = [b[0] for b in found if b[2]]
-    if marked:
-        return "\n".join(marked)
-    held = [{found[i][4] for i in range(a, b) if weight[i]} for a, b in regions]
-    best = max(range(len(regions)), key=lambda k: (sum(weight[slice(*regions[k])]), -k))
-    same = [r for r, h in zip(regions, held, strict=True) if h & held[best]]
-    return "\n".join(b[0] for b in found[same[0][0] : same[-1][1]])
+    held = [{found[i][3] for i in range(a, b) if weight[i]} for a, b in runs]
+    best = max(range(len(runs)), key=lambda k: (sum(weight[slice(*runs[k])]), -k))
+    box = found[max(range(*runs[best]), key=lambda i: (weight[i], -i))][3]
+    mark, e = None, box
+    while e is not None:
+        mark, e = (e if e.tag in OUTER else mark), e.up
+    if mark is None:
+        box = _widened(found, weight, runs[best], box)
+        if box.up is None:
+            same = [r for r, h in zip(runs, held, strict=True) if h & held[best]]
+            return "\n".join(b[0] for b in found[same[0][0] : same[-1][1]])
+    for e in elements:  # outer ones come first
+        e.flag = e is box if mark is None else e.tag in OUTER and e.up is mark.up
+        e.flag = e.flag or e.up is not None and e.up.flag
+    return "\n".join(b[0] for b in found if b[3].flag)
+
+
+def _widened(found: list, weight: list[int], run: tuple[int, int], box: Element) -> Element:
+    """The innermost element around the heaviest block of a region outside which no prose stands; the page if its own text is part of the region."""
+    if any(found[i][3].up is None for i in range(*run) if weight[i]):
+        while box.up is not None:
+            box = box.up
+        return box
+    for i, b in enumerate(found):
+        if weight[i] and (weight[i] >= LONG or PROSE.search(b[0])):
+            wider = _common(box, b[3])
+            box = box if wider.up is None else wider
+    return box
 
 
 def extract(df: DataFrame, html: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
