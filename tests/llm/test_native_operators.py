@@ -126,12 +126,63 @@ def test_mined_rules_decide(spark):
     brute = Counter()
     for r in mined.collect():
         for i, u in urls:
-            if set(r.tokens) <= set(url_tokens(u)):
+            if all(set(x) & set(url_tokens(u)) for x in r.need):
                 brute[i] += 1
     hits = url_rules.match(pages.select("page_id", url_rules.tokens(F.col("url")).alias("tokens")), mined)
     assert {r.page_id: r.n_rules for r in hits.collect()} == dict(brute)
 
 
+def brute_rules_of(labelled, least, confidence, most):
+    """All token sets of telling tokens by trying each: those that reach count and confidence and have no smaller one inside."""
+    from itertools import combinations
+
+    rows = [(frozenset(url_tokens(u)), bad) for u, bad in labelled]
+    share = sum(b for _, b in rows) / len(rows)
+    count = lambda s: (sum(s <= r for r, _ in rows), sum(s <= r and b for r, b in rows))
+    telling = [t for t in {t for r, _ in rows for t in r} if (c := count({t}))[1] >= least and c[1] > share * c[0]]
+    found = []
+    for size in range(1, most + 1):
+        for s in map(frozenset, combinations(sorted(telling), size)):
+            n, k = count(s)
+            if k >= least and k >= confidence * n and not any(f < s for f in found):
+                found.append(s)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mining_equals_brute_force(spark, seed):
+    import random
+
+    draw = random.Random(seed)
+    urls = [(f"http://{draw.choice('ab')}.x{draw.choice('123')}.org/{draw.choice('pq')}/{draw.choice('rst')}/{draw.choice('uv')}", None) for _ in range(60)]
+    urls = [(u, draw.random() < (0.95 if "/p/r" in u or "a.x1" in u else 0.1)) for u, _ in urls]
+    urls += [urls[0]] * 3 + [("http://only.once/same/pages/together", True)] * 4
+    mined = url_rules.mine(spark.createDataFrame(urls, "url string, bad boolean"), 0.0, 0.8, 3, 8).collect()
+    want = brute_rules_of(urls, 3, 0.8, 4)
+    assert want and any(len(s) > 1 for s in want) or seed
+    probe = [u for u, _ in urls] + [f"http://{a}.x{b}.org/{c}/{d}/{e}" for a in "ab" for b in "123" for c in "pq" for d in "rst" for e in "uv"] + ["http://only.two/z", "http://a.once/z"]
+    for u in probe:
+        own = set(url_tokens(u))
+        assert any(all(set(x) & own for x in r.need) for r in mined) == any(s <= own for s in want), u
+
+
+def test_long_and_repeated_urls_finish(spark):
+    import random
+    import time
+
+    draw = random.Random(1)
+    long = "http://bad.example.biz/" + "/".join(f"s{k}" for k in range(200))
+    mixed = ["http://m.example.biz/" + "/".join(f"r{k}" for k in range(200) if draw.random() < 0.5) for _ in range(40)]
+    urls = [(1000 + i, long) for i in range(20)] + [(2000 + i, u) for i, u in enumerate(mixed)] + [(i, f"http://fine.example.biz/p/{i}") for i in range(40)] + [(9, None), (10, "no scheme")]
+    labels = [(i, int(i < 1000 or (i >= 2000 and i % 2))) for i, _ in urls]
+    pages, marks = spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    began = time.time()
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, marks, rules=()).collect()}
+    assert all(got[1000 + i] == "block" for i in range(20)) and all(got[i] == "allow" for i in range(9)) and time.time() - began < 60
+    empty = url_rules.judge(pages.limit(0), marks.limit(0))
+    assert empty.count() == 0
+
+
 def url_tokens(url):
     host, _, path = url.split("://")[1].partition("/")
     return [*(f"h:{x}" for x in host.split(".")), *(f"p:{x}" for x in path.split("/"))]
