@@ -51,10 +51,15 @@ def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
             left -= goal[s]
 
 
+def narrow_of(df, **names):
+    text = F.col("text") if "text" in df.columns else F.lit(None).cast("string")
+    return df.select("*", mixing.name_of(F.col("key"), text).alias("__name"), F.col("source").alias("__source"), F.col("size").alias("__size"))
+
+
 def test_mix(spark):
     rows = [(i, ("a", "b", None, "c")[i % 4] if i % 5 else "hot", (i * 37) % 91) for i in range(400)] + [(400, "empty", 0), (None, "a", 5), (7, "c", 80), (7, "c", 80)]
-    df = spark.createDataFrame(rows, "key long, source string, size long")
-    narrow = common.written(df, "t")
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "key long, source string, size long, rest string, rank double")
+    narrow = common.written(narrow_of(df), "t")
     got = mixing.apply(narrow, mixing.plan(narrow)).collect()
     sizes = Counter()
     for _, s, n in rows:
@@ -71,6 +76,54 @@ def test_mix(spark):
     assert mixing.apply(narrow.limit(0), mixing.plan(narrow.limit(0))).count() == 0
 
 
+def test_inclusion_is_unequal_and_as_planned(spark):
+    """Over many seeds a document is taken as often as its inclusion probability says, and longer ones more often."""
+    import hashlib
+
+    sizes = [(i, ("a", "b", "c")[i % 3], 20 + 380 * (i % 7 == 0) + (i * 13) % 40) for i in range(240)]
+    df = common.written(narrow_of(spark.createDataFrame(sizes, "key long, source string, size long")), "t")
+    goal = {r["__s"]: r for r in mixing.plan(df).collect()}
+    assert any(0.2 < g["__f"] < 0.8 for g in goal.values())
+    seeds, taken, pi = 400, Counter(), {}
+    for i, s, n in sizes:
+        g = goal[s]
+        pi[i] = g["__f"] + min(g["__f"], 1 - g["__f"]) * (n * 1000 // (n + 200) / 1000 - g["__mean"])
+    for seed in range(seeds):
+        for s, g in goal.items():
+            mine = []
+            for i, src, n in sizes:
+                if src == s and g["__f"] > 0:
+                    u = (int(hashlib.md5(f"k{seed}:{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+                    mine.append((u / (1 - u) / (pi[i] / (1 - pi[i])), i, n))
+            got, need = 0, g["__need"]
+            for _, i, n in sorted(mine):
+                if got < need and abs(got + n - need) <= abs(got - need):
+                    taken[i] += 1
+                got += n
+    f = {s for s, g in goal.items() if 0.2 < g["__f"] < 0.8}
+    for i, s, _ in sizes:
+        if s in f:
+            assert abs(taken[i] / seeds - pi[i]) < 5 * (pi[i] * (1 - pi[i]) / seeds) ** 0.5 + 0.03, (i, taken[i] / seeds, pi[i])
+    long = [pi[i] for i, s, n in sizes if s in f and n > 300]
+    short = [pi[i] for i, s, n in sizes if s in f and n < 100]
+    assert min(long) > max(short) + 0.05
+    # and the operator takes the same documents as this brute force
+    for seed in ("k0", "k1"):
+        got = {r.key: r.copies for r in mixing.apply(df, mixing.plan(df, seed=seed), seed).collect()}
+        for s, g in goal.items():
+            mine = []
+            for i, src, n in sizes:
+                if src == s and g["__f"] > 0:
+                    u = (int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+                    odds = u / (1 - u) / (pi[i] / (1 - pi[i]))
+                    mine.append((odds / (1 + odds), i, n))
+            before = 0
+            for _, i, n in sorted(mine):
+                more = g["__f"] > 0 and before < g["__need"] and abs(before + n - g["__need"]) <= abs(before - g["__need"])
+                assert got[i] == g["__whole"] + more
+                before += n
+
+
 def test_mix_repeats_whole_rows(spark):
     df = spark.createDataFrame([(i, f"s{i % 3}", "w " * (i % 9), i) for i in range(60)], "doc_id long, source string, text string, size int")
     out = mixing.mix(df, common.word_count(F.col("text")))
