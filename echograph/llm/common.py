@@ -30,20 +30,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session (tests) gets one of its own where it is unset."""
     sc = spark.sparkContext
     got = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not got:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="echograph-"))
         got = sc.getCheckpointDir()
     return got
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts lineage and survives lost executors."""
+    """df as a table in the shared folder, read again: cuts lineage and survives lost executors. It goes as the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,16 +7,16 @@ runs of non-white-space). Two documents are linked where 100 * |intersection| >=
    one class; its smallest id stands for it, so copies are never compared with each other.
 2. Signatures are cut into BANDS bands of ROWS values; classes that share a band meet in a bucket. A
    link of similarity 0.75 meets nowhere with a chance of (1 - 0.75^4)^48 = 1e-8.
-3. In a bucket each member is a candidate with the bucket's centre: in buckets of over ALL_PAIRS
-   classes the one whose buckets are fullest (the text that the copies were made of), else the least
-   id. In buckets of up to ALL_PAIRS classes all pairs that this leaves in different groups follow: at
-   most ALL_PAIRS rows a member. In larger ones, as long as members outside the centre's group are
-   left, the centre of these is compared with all, for ROUNDS rounds; whatever members are then outside
-   the largest group of their bucket are compared with all of it, in blocks of BLOCK, but for pairs of
-   one group. Only pairs that pass step 4 leave the blocks; the comparisons themselves grow with
-   members outside times members.
-4. Candidates whose signatures agree in under ESTIMATE of their values go (4 standard deviations
-   below 0.75); all others are verified on the full sets of their texts.
+3. In a bucket each member is a candidate with the bucket's centre: the one whose buckets are fullest
+   (the text that the copies were made of), the least id among equals. Candidates whose signatures
+   agree in under ESTIMATE of their values go (6 standard deviations below 0.75, a chance as small as
+   that of the bands); all others are verified on the full sets of their texts, and links become groups.
+4. Then all pairs of a bucket that are still in different groups are compared on the full sets, in
+   every bucket, however large: members outside the bucket's largest group against all members, in
+   blocks of BLOCK set elements a side. A block counts the elements that two sets share for all its
+   pairs at once; of the links it finds it returns a spanning forest, so its output is no larger than
+   its input. What has joined the largest group is never compared again, so the work grows with the
+   members outside times the members.
 5. Links become groups: union-find inside each task, then rounds of hooking smaller labels between
    tasks until none changes. No link, group or fingerprint goes to the driver.
 
@@ -25,8 +25,9 @@ permutation names; a slot keeps its least value, and a document stops as soon as
 since later steps offer larger values. The steps run over all elements of a batch at once.
 
 Null and empty texts and texts without words have empty sets: linked with nothing, kept. Fewer than
-five words: the whole sequence is one shingle. The key names a document: whole rows may repeat and
-give repeated rows; null keys are kept and linked with nothing. Empty table: empty result.
+five words: the whole sequence is one shingle. The key, an integer, names a document: whole rows may
+repeat and give repeated rows; null keys are kept and linked with nothing. Where rows of one key have
+different texts, the greatest of these (by bytes) is the document's. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -45,10 +46,10 @@ WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 48, 4
 SLOTS = BANDS * ROWS
-ALL_PAIRS = 64
-ROUNDS = 2
-BLOCK = 512
-ESTIMATE = 0.625
+#: Set elements of one side of a block, and candidates of one salt of a hot document.
+BLOCK = 400_000
+SALT = 500
+ESTIMATE = 0.5625
 CHUNK_BYTES = 1_000_000
 CHUNK_ELEMENTS = 40_000
 
@@ -223,26 +224,37 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.select("a", "b", "va", "vb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _salted(pairs: DataFrame, docs: DataFrame, side: str, into: str) -> DataFrame:
+    """pairs with the text of the document named in column `side` as bytes in `into`; a document of many pairs is dealt to several tasks."""
+    parts = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / SALT).alias("__parts"))
+    hot = common.bounded(parts.where("__parts > 1"))
+    dealt = pairs.join(hot, side, "left").withColumn("__salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("__parts", F.lit(1)).cast("long"))).drop("__parts")
+    ids = parts.select(F.col(side).alias("__id"), "__parts")
+    texts = docs.join(common.bounded(ids, common.BROADCAST_IDS), docs["id"] == F.col("__id"))
+    copies = texts.select(F.col("__id").alias(side), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)).alias("__salt"), F.col("text").cast("binary").alias(into))
+    return dealt.join(copies, [side, "__salt"]).drop("__salt")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs a, b those whose full sets are similar enough."""
-    need = pairs.select(F.col("a").alias("id"), "a", "b").unionByName(pairs.select(F.col("b").alias("id"), "a", "b"))
-    ids = need.select(F.col("id").alias("i")).distinct()
-    wanted = docs.join(common.bounded(ids, common.BROADCAST_IDS), docs["id"] == F.col("i"), "left_semi") if common.few(ids, common.BROADCAST_IDS) else docs
-    both = need.join(wanted, "id").groupBy("a", "b").agg(F.min_by("text", "id").alias("ta"), F.max_by("text", "id").alias("tb"))
+    both = _salted(_salted(pairs.select("a", "b"), docs, "a", "ta"), docs, "b", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.hold(NAME, _drop)
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
-                x, y = (shingles(b.column(k).to_pylist()) for k in (2, 3))
-                common_ = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)]
-                good = [100 * c >= PERCENT * (len(p) + len(q) - c) for c, p, q in zip(common_, x, y, strict=True)]
+                x, y = (shingles([t or b"" for t in b.column(k).to_pylist()]) for k in (2, 3))
+                good = [similar(len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))) for p, q in zip(x, y, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
         common.release()
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", F.col("ta").cast("binary"), F.col("tb").cast("binary")).mapInArrow(run, f"a {kind}, b {kind}")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def similar(n, m, shared):
+    return (100 * shared >= PERCENT * (n + m - shared)) & (shared > 0)
 
 
 def groups(links: DataFrame) -> DataFrame:
@@ -287,56 +299,95 @@ def classes(sets: DataFrame) -> DataFrame:
     return sets.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
 
 
-def _centred(large: DataFrame) -> DataFrame:
-    """key, centre of each large bucket: the member whose large buckets are fullest, the least id among equals."""
-    full = large.groupBy("id").agg(F.sum("count").alias("weight"))
-    return large.join(full, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", (-F.col("id")).alias("low"))).alias("centre"))
+def _centres(met: DataFrame) -> DataFrame:
+    """key, centre of each bucket: the member whose buckets are fullest, the least id among equals."""
+    full = met.groupBy("id").agg(F.sum("count").alias("weight"))
+    return met.join(full, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", (-F.col("id")).alias("low"))).alias("centre"))
 
 
-def _blocks(left: DataFrame, marked: DataFrame, sigs: DataFrame) -> DataFrame:
-    """a, b, x, other, same: pairs of a member x of left (key, id, label) and a member of another group (label other) of its bucket in marked, if their signatures agree in `same` values, enough for ESTIMATE."""
-    counts = marked.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("nj")).join(left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("ni")), "key")
-    side = lambda df, own, other, n, m: (
-        df.join(counts, "key").join(sigs.select("id", "n", "values"), "id").withColumn(own, F.pmod(F.xxhash64("id"), F.col(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))).select(*[F.col(c).alias(c) for c in ("key", "i", "j", "id", "label", "n", "values")])  # aliases keep the sides of cogroup() apart
-    )
+def forest(a: np.ndarray, b: np.ndarray, parent: dict) -> list[tuple]:
+    """Links that join two trees of `parent`, which they change."""
+    out = []
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((min(x, y), max(x, y)))
+    return out
+
+
+def block_links(ids: list[np.ndarray], labels: list[np.ndarray], sets: list[list[np.ndarray]]) -> list[tuple]:
+    """A spanning forest of the links between two lists of documents (ids, labels, sets) of different labels."""
+    parent: dict = {}
+    for x, label in zip(np.concatenate(ids).tolist(), np.concatenate(labels).tolist(), strict=True):
+        parent[x] = label
+        parent.setdefault(label, label)
+    sizes = [np.array([len(s) for s in side], np.int64) for side in sets]
+    flat = np.concatenate(sets[1])
+    words, place = np.unique(flat, return_inverse=True)
+    ends = np.cumsum(sizes[1])
+    starts = ends - sizes[1]
+    mark = np.zeros(len(words) + 1, np.int32)
+    out: list[tuple] = []
+    for k, own in enumerate(sets[0]):
+        at = np.searchsorted(words, own)
+        at = at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == own)]
+        if not len(at):
+            continue
+        mark[at] = 1
+        shared = np.add.reduceat(mark[place], starts)
+        mark[at] = 0
+        good = np.flatnonzero(similar(sizes[0][k], sizes[1], shared) & (labels[1] != labels[0][k]))
+        if len(good):
+            out += forest(np.full(len(good), ids[0][k]), ids[1][good], parent)
+    return out
+
+
+def _blocks(left: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b: a spanning forest of the links of members of left (key, id, label, n) with members of other groups of their bucket in marked."""
+    count = lambda df, name: df.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).alias(name))
+    counts = count(marked, "nj").join(count(left, "ni"), "key")
+    wanted = marked.select("id").distinct()
+    texts = docs.join(common.bounded(wanted, common.BROADCAST_IDS), "id", "left_semi").dropDuplicates(["id"])
     kind = marked.schema["id"].dataType.simpleString()
 
+    def side(df: DataFrame, own: str, other: str, n: str, m: str) -> DataFrame:
+        spread = df.join(counts, "key").withColumn(own, F.pmod(F.xxhash64("id"), F.col(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1)))
+        return spread.join(_sets(texts), "id").select(*[F.col(c).alias(c) for c in ("key", "i", "j", "id", "label", "set")])  # aliases keep the sides of cogroup() apart
+
     def run(xs: pa.Table, ys: pa.Table) -> pa.Table:
-        ids, labels, sizes = ([t[c].to_numpy() for t in (xs, ys)] for c in ("id", "label", "n"))
-        v, w = (np.frombuffer(b"".join(t["values"].to_pylist()), np.uint16).reshape(-1, SLOTS) for t in (xs, ys))
-        found = []
-        for k in range(len(v)):
-            at = np.flatnonzero((labels[1] != labels[0][k]) & (sizes[1] * 100 >= sizes[0][k] * PERCENT) & (sizes[0][k] * 100 >= sizes[1] * PERCENT))
-            same = np.count_nonzero(w[at] == v[k], axis=1)
-            good = same >= ESTIMATE * SLOTS
-            at = at[good]
-            x, y = np.full(len(at), ids[0][k]), ids[1][at]
-            found.append((np.minimum(x, y), np.maximum(x, y), x, labels[1][at], same[good].astype(np.int64)))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 5
-        return pa.table([pa.array(c, xs.schema.field("id").type if k < 4 else pa.int64()) for k, c in enumerate(columns)], ["a", "b", "x", "other", "same"])
+        common.hold(NAME, _drop)
+        sides = [t.combine_chunks() for t in (xs, ys)]
+        links = []
+        if all(len(t) for t in sides):
+            links = block_links([t["id"].to_numpy() for t in sides], [t["label"].to_numpy() for t in sides], [[np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()] for t in sides])
+        a, b = ([x[k] for x in links] for k in (0, 1))
+        common.release()
+        return pa.table([pa.array(a, xs.schema.field("id").type), pa.array(b, xs.schema.field("id").type)], ["a", "b"])
 
     met = side(left, "i", "j", "ni", "nj").groupBy("key", "i", "j").cogroup(side(marked, "j", "i", "nj", "ni").groupBy("key", "i", "j"))
-    return met.applyInArrow(run, f"a {kind}, b {kind}, x {kind}, other {kind}, same long").distinct()
-
-
-def _rest(large: DataFrame, labels: DataFrame, tried: DataFrame, sigs: DataFrame, docs: DataFrame, links: DataFrame) -> DataFrame:
-    """links with those of all pairs of large buckets that labels has in different groups."""
-    marked = large.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    sizes = marked.groupBy("key", "label").agg(F.count("*").alias("size"))
-    heads = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", (-F.col("label")).alias("low"))).alias("head"))
-    left = common.written(marked.join(heads, "key").where("label <> head").select("key", "id", "label"), "left")
-    if not left.limit(1).count():
-        return links
-    pairs = common.written(_blocks(left, marked.join(left.select("key").distinct(), "key", "left_semi"), sigs).join(tried, ["a", "b"], "left_anti"), "candidates")
-    # the likeliest pair of a member and a group first: what it links need not be verified again
-    best = common.written(pairs.groupBy("x", "other").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "candidates")
-    fresh = common.written(_verified(best, docs), "links")
-    links = links.unionByName(fresh)
-    if fresh.limit(1).count():
-        labels = groups(links)
-    of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias("l" + c))
-    more = pairs.select("a", "b").distinct().join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(la, a) <> coalesce(lb, b)")
-    return links.unionByName(common.written(_verified(common.written(more.select("a", "b"), "candidates"), docs), "links"))
+    return met.applyInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """id and the sorted set as bytes of (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold(NAME, _drop)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 200):
+                b = whole.slice(i, 200)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingles([x or b"" for x in b.column(1).to_pylist()])], pa.binary())], ["id", "set"])
+        common.release()
+
+    return texts.select("id", F.col("text").cast("binary")).mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, set binary")
 
 
 def _ordered(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -347,40 +398,26 @@ def detect(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles, component_id, kept. Keys are integers."""
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     sets = common.written(sets_of(docs), "sets")
+    texts_of = sets.where("id is not null").groupBy("id").agg(F.count_distinct("n", "h1", "h2").alias("texts"))
+    if texts_of.where("texts > 1").limit(1).count():
+        one = docs.where("id is not null").groupBy("id").agg(F.max("text").alias("text"))
+        docs = common.written(docs.select("id").join(one, "id").unionByName(docs.where("id is null")), "documents")
+        sets = common.written(sets_of(docs), "sets")
     reps = common.written(classes(sets), "classes")
     sigs = common.written(sets.select("id", "n", "keys", "values").dropDuplicates(["id"]).join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), "signatures")
-    rows = sigs.select(F.explode("keys").alias("key"), "id")
+    rows = sigs.select(F.explode("keys").alias("key"), "id", "n")
     met = common.written(rows.join(rows.groupBy("key").count().where("count > 1"), "key"), "buckets")
-    small, large = met.where(f"count <= {ALL_PAIRS}"), met.where(f"count > {ALL_PAIRS}")
-    centres = common.written(_centred(large).unionByName(small.groupBy("key").agg(F.min("id").alias("centre"))), "centres")
-    tried = common.written(_agreeing(_ordered(met.join(centres, "key"), "id", "centre"), sigs), "candidates")
+    tried = common.written(_agreeing(_ordered(met.join(_centres(met), "key"), "id", "centre"), sigs), "candidates")
     links = common.written(_verified(tried, docs), "links")
-    # what the centres did not join: pairs of a small bucket that are in different groups
     labels = groups(links)
-    marked = small.where("count > 2").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    apart = marked.alias("x").join(marked.alias("y"), F.expr("x.key = y.key and x.id < y.id and x.label <> y.label")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    links = links.unionByName(common.written(_verified(common.written(_agreeing(apart, sigs).join(tried, ["a", "b"], "left_anti"), "candidates"), docs), "links"))
-    some = large
-    any_large = bool(large.limit(1).count())
-    for _ in range(ROUNDS if any_large else 0):
-        labels = groups(links)
-        # what is left of a large bucket: members outside the group of its centre
-        marked = some.join(labels, "id", "left").select("key", "id", "count", F.coalesce("label", "id").alias("label"))
-        heads = centres.join(labels.select(F.col("id").alias("centre"), F.col("label").alias("head")), "centre", "left").select("key", F.coalesce("head", "centre").alias("head"))
-        left = common.written(marked.join(heads, "key").where("label <> head").select("key", "id", "count"), "left")
-        if not left.limit(1).count():
-            break
-        more = _centred(left)
-        others = _agreeing(_ordered(marked.select("key", "id").join(more, "key"), "id", "centre"), sigs).join(tried, ["a", "b"], "left_anti")
-        fresh = common.written(_verified(common.written(others, "candidates"), docs), "links")
-        some, centres = left, more
-        if not fresh.limit(1).count():
-            break
-        links = links.unionByName(fresh)
-    else:
-        labels = groups(links)
-    if any_large:
-        labels = groups(_rest(large, labels, tried, sigs, docs, links))
+    # what the centres did not join: members outside the largest group of their bucket meet all of it
+    marked = met.where("count > 2").join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+    sizes = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    heads = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", (-F.col("label")).alias("low"))).alias("head"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    open_ = common.written(marked.join(heads.select("key", "head"), "key"), "open")
+    left = open_.where("label <> head").drop("head")
+    if left.limit(1).count():
+        labels = groups(links.unionByName(common.written(_blocks(left, open_.drop("head"), docs), "links")))
     known = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("label", "rep").alias("component_id"))
     out = sets.select("id", "n", "h1", "h2").join(known, ["h1", "h2", "n"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
@@ -388,8 +425,8 @@ def detect(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """df without the documents that detect() drops: one of each group is left."""
-    gone = common.written(detect(df, text, key).where("not kept").select(F.col(key).alias("gone")).distinct(), "dropped")
-    return df.join(common.bounded(gone, common.BROADCAST_IDS), F.col(key) == F.col("gone"), "left_anti")
+    gone = common.written(detect(df, text, key).where("not kept").select(F.col(key).alias("__gone")).distinct(), "dropped")
+    return df.join(common.bounded(gone, common.BROADCAST_IDS), F.col(key) == F.col("__gone"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

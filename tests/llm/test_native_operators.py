@@ -159,6 +159,14 @@ def test_bad_host_takes_its_documents_along(spark):
     assert not any(i < 100 for i in kept) and len(kept) == 380
 
 
+def test_rows_of_one_key_are_judged_apart(spark):
+    good = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, good, "h", "x"), (1, "short", "h", "y"), (None, "short", "h", "z"), (None, good, "h", "x"), (2, good, None, "x"), (2, good, None, "x")]
+    left = host_rules.keep(spark.createDataFrame(rows, "doc_id long, text string, source string, gone string"))
+    assert left.columns == ["doc_id", "text", "source", "gone"]
+    assert sorted(map(str, (r.doc_id for r in left.collect()))) == ["1", "2", "2", "None"] and left.where("text = 'short'").count() == 0
+
+
 def test_url_parts_and_fixed_rules(spark):
     cases = [("http://A.example.NET/en/x?q#f", "a.example.net", "/en/x", "example.net/en/", "allow"), ("https://x.net/de", "x.net", "/de", "net/", "block"), ("net/en", "", "", None, "allow"), (None, "", "", None, "allow"), ("s://example.com/de/1", "example.com", "/de/1", "example.com/de/", "block"), ("s://notexample.com/de/1", "notexample.com", "/de/1", None, "allow"), ("s://a.org/fr/://b", "a.org", "/fr/://b", "org/fr/", "allow"), ("s://ÄB.net", "Äb.net", "", None, "allow")]
     pages = spark.createDataFrame([(i, c[0], "x") for i, c in enumerate(cases)], "page_id long, url string, host string")
