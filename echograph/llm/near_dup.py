@@ -419,7 +419,7 @@ def detect(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     if left.limit(1).count():
         labels = groups(links.unionByName(common.written(_blocks(left, open_.drop("head"), docs), "links")))
     known = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("label", "rep").alias("component_id"))
-    out = sets.select("id", "n", "h1", "h2").join(known, ["h1", "h2", "n"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = sets.select("id", "n", "h1", "h2").join(known, ["h1", "h2", "n"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 

@@ -10,8 +10,8 @@ they are; score_by_join() is the other way, a shuffle join of each document's n-
 the sharded tables, which moves several times the input.
 
 A document's score is its negative log-likelihood per symbol, shrunk towards its language's mean by
-PRIOR symbols; its perplexity is the exponential. Documents whose score exceeds SLACK times the
-QUANTILE of the trusted scores of their language are rejected. Languages without trusted text, null
+PRIOR symbols; its perplexity is the exponential. Documents whose score exceeds the QUANTILE of the
+trusted scores of their language are rejected. Languages without trusted text, null
 among them, are judged by a model of all trusted text, that of null language too.
 
 Null and empty texts score the mean and are kept. No trusted text at all: everything is kept, with
@@ -37,7 +37,7 @@ NAME = "op5_ngram_quality"
 SYMBOLS, ORDER = 40, 4
 CELLS = SYMBOLS**ORDER
 PRIOR = 100
-QUANTILE, SLACK = 0.995, 1.1
+QUANTILE = 0.995
 #: Languages whose tables are sent at once; a table takes 2 * CELLS bytes at most.
 SLICE = 16
 STEP = 1 << 18
@@ -202,7 +202,7 @@ def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return labels.groupBy(F.col(key).alias("trusted_id")).agg(F.min(good).alias("good")).where("good and trusted_id is not null").select("trusted_id")
 
 
-def judge(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def judge(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """df with score (nats per symbol), limit and kept."""
     spark = df.sparkSession
     df = df.drop(*[c for c in ("score", "limit", "kept") if c in df.columns])
@@ -232,7 +232,7 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return out
 
     seen = common.written(over(trusted.select("lang", "text"), {}, "text", "lang").select("lang", "score"), "trusted-scores")
-    cut = F.percentile_approx("score", F.lit(quantile), F.lit(10_000)) * slack
+    cut = F.percentile_approx("score", F.lit(quantile), F.lit(10_000))
     limits = {r["lang"]: r["cut"] for r in seen.where(F.col("lang").isin(known)).groupBy("lang").agg(cut.alias("cut")).unionByName(seen.groupBy(F.lit(ALL).alias("lang")).agg(cut.alias("cut"))).collect()}
     return over(df, limits, text, lang).withColumn("kept", F.coalesce(F.col("score") <= F.col("limit"), F.lit(True)))
 
