@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pkgutil import iter_modules
 
 _queries: dict[str, Callable] = {}
-_oracles: dict[str, str] = {}
+_oracles: dict[str, str | Callable[[], str]] = {}
 
 
-def register(name: str, sql: str | None = None):
-    """Decorator: the function becomes query `name`; sql is its twin for an independent engine."""
+def register(name: str, sql: str | Callable[[], str] | None = None):
+    """Decorator: the function becomes query `name`; sql, or what makes it, is its twin for an independent engine."""
 
     def keep(f: Callable) -> Callable:
         _queries[name] = f
@@ -37,4 +37,4 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(_oracles)
+    return {name: sql() if callable(sql) else sql for name, sql in _oracles.items()}

@@ -2,7 +2,11 @@
 
 A query's body names its inputs in braces. For Spark they are DataFrames handed to spark.sql(); for the
 other engine they are common table expressions. A few macros stand for what the dialects name
-differently: MEDIAN(x), QUANT(x, p), UNIFORM(text) (a number in [0, 1) from md5), SEQ(a, b) (one row each).
+differently: MEDIAN(x), QUANT(x, p), UNIFORM(text) (a number in [0, 1) from md5), HASHED(text) (32 bits of
+it), SEQ(a, b) and BOTH(..) (one row each), POS(array) (rows i from 0, x), RX'..' (a pattern), SUBALL(s, p, r)
+(all matches), TRYINT(s), LINES(x, i) (rows of a group as lines by i), R6(x) (six digits, halves up), INTS(score)
+(a six-digit score as a whole number, so that sums are exact).
+Inputs that many queries share are written once a session (SHARED).
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echograph import store
 from echograph.catalog import register
 from echograph.operators import features as FG
 from echograph.operators import scorers as SC
@@ -22,6 +27,10 @@ from echograph.plans import base as B
 INPUTS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str, tuple[str, ...]]] = {}
 
 
+#: An input inside braces; braces of patterns hold one letter, digits or a capital.
+NAME = r"\{([a-z]\w+)\}"
+
+
 def table_input(name: str) -> None:
     INPUTS[name] = (lambda s, d: B.read(s, d, name), "", ())
 
@@ -33,7 +42,15 @@ for _t in "region nation customer supplier part orders lineitem events documents
 def dialect(body: str, engine: str) -> str:
     spark = engine == "spark"
     arg = r"\(((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*)\)"
+    body = re.sub(r"\bRX'", "r'" if spark else "'", body)
     rules = [
+        (r"\bHASHED" + arg, r"CAST(conv(substr(md5(CAST(\1 AS BINARY)), 1, 8), 16, 10) AS BIGINT)" if spark else r"(('0x' || substr(md5(\1), 1, 8))::BIGINT)"),
+        (r"\bPOS" + arg, r"posexplode(\1) AS (i, x)" if spark else r"generate_subscripts(\1, 1) - 1 AS i, unnest(\1) AS x"),
+        (r"\bSUBALL" + arg, r"regexp_replace(\1)" if spark else r"regexp_replace(\1, 'g')"),
+        (r"\bTRYINT" + arg, r"try_cast(\1 AS BIGINT)"),
+        (r"\bLINES" + r"\((\w+), (\w+)\)", r"listagg(\1, '\n') WITHIN GROUP (ORDER BY \2)" if spark else r"string_agg(\1, chr(10) ORDER BY \2)"),
+        (r"\bR6" + arg, r"(floor((\1) * 1e6 + 5e-1) / 1e6)"),
+        (r"\bINTS" + arg, r"CAST(floor((\1) * 1e6 + 5e-1) AS BIGINT)"),
         (r"\bMEDIAN" + arg, r"percentile(\1, 5e-1)" if spark else r"quantile_cont(\1, 0.5)"),
         (r"\bQUANT" + arg, r"percentile(\1)" if spark else r"quantile_cont(\1)"),
         (r"\bUNIFORM" + arg, r"(CAST(conv(substr(md5(CAST(\1 AS BINARY)), 1, 8), 16, 10) AS DOUBLE) / 4294967296e0)" if spark else r"(('0x' || substr(md5(\1), 1, 8))::BIGINT::DOUBLE / 4294967296)"),
@@ -48,7 +65,7 @@ def dialect(body: str, engine: str) -> str:
 
 
 def needs(body: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", body)))
+    return list(dict.fromkeys(re.findall(NAME, body)))
 
 
 def _ctes(names: list[str], done: list[str]) -> list[str]:
@@ -70,17 +87,27 @@ def define(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str,
 
 def derive(name: str, body: str) -> None:
     """An input that is itself shared SQL."""
-    INPUTS[name] = (lambda s, d: run(s, d, body), dialect(re.sub(r"\{(\w+)\}", r"\1", body), "duck"), tuple(needs(body)))
+    INPUTS[name] = (lambda s, d: run(s, d, body), dialect(re.sub(NAME, r"\1", body), "duck"), tuple(needs(body)))
 
 
 def run(spark: SparkSession, sf: str, body: str) -> DataFrame:
     names = needs(body)
-    return spark.sql(dialect(body, "spark"), **{n: INPUTS[n][0](spark, sf) for n in names})
+    text = re.sub(r"\{(?![a-z]\w+\})([^{}]*)\}", r"{{\1}}", dialect(body, "spark"))
+    return spark.sql(text, **{n: given(spark, sf, n) for n in names})
+
+
+#: Inputs that are written once a session, for all queries that name them.
+SHARED = {"tt", "st", "s1", "s2", "s3", "gold", "units", "best"}
+
+
+def given(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    make = INPUTS[name][0]
+    return store.once(spark, sf, name, make) if name in SHARED else make(spark, sf)
 
 
 def twin(body: str) -> str:
     ctes = _ctes(needs(body), [])
-    text = dialect(re.sub(r"\{(\w+)\}", r"\1", body), "duck")
+    text = dialect(re.sub(NAME, r"\1", body), "duck")
     if not ctes:
         return text
     if text.lstrip().upper().startswith("WITH "):
@@ -88,8 +115,20 @@ def twin(body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + text
 
 
+def numbered(base: str, key: str, unit: str = "unit", desc: bool = False, chunk: int = 100_000) -> str:
+    """SQL: rows of {base} with pos, their place (from 0) in the order of key and unit, and n, their number.
+
+    Rows are counted by key and chunk of ids; only these counts are summed up in one place, and a row's
+    place inside its chunk comes from a window over that chunk.
+    """
+    down = " DESC" if desc else ""
+    return f"""SELECT x.*, o.earlier + row_number() OVER (PARTITION BY x.{key}, x.chunk ORDER BY x.{unit}) - 1 AS pos, o.n FROM (SELECT *, floor({unit} / {chunk}) AS chunk FROM {{{base}}}) x
+JOIN (SELECT k, c, sum(m) OVER () AS n, coalesce(sum(m) OVER (ORDER BY k{down}, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+  FROM (SELECT {key} AS k, floor({unit} / {chunk}) AS c, count(*) AS m FROM {{{base}}} GROUP BY {key}, floor({unit} / {chunk})) g) o ON x.{key} = o.k AND x.chunk = o.c"""
+
+
 def query(name: str, body: str, doc: str = "") -> None:
-    @register(name, twin(body))
+    @register(name, lambda: twin(body))
     def made(spark: SparkSession, sf: str) -> DataFrame:
         return run(spark, sf, body)
 
@@ -105,7 +144,7 @@ define("st", B.source_tokens, B.tokens_sql("x", "(SELECT item_id AS unit, text F
 
 def _coverage(n: int) -> Callable[[SparkSession, str], DataFrame]:
     def make(spark: SparkSession, sf: str) -> DataFrame:
-        t, s = FG.ngrams(B.target_tokens(spark, sf), (n,)), FG.ngrams(B.source_tokens(spark, sf), (n,))
+        t, s = FG.ngrams(given(spark, sf, "tt"), (n,)), FG.ngrams(given(spark, sf, "st"), (n,))
         return SC.coverage(t, s).select("target", "source", "score")
 
     return make
@@ -124,7 +163,7 @@ define("s3", _coverage(3), _coverage_sql(3), ("tt", "st"))
 
 def _gold(spark: SparkSession, sf: str) -> DataFrame:
     """Verbatim reuse: the passage's bigrams all occur, and so does its text."""
-    full = _coverage(2)(spark, sf).where("score = 1")
+    full = given(spark, sf, "s2").where("score = 1")
     both = full.join(B.targets(spark, sf).select(F.col("unit").alias("target"), "text"), "target").join(B.sources(spark, sf).select(F.col("unit").alias("source"), F.col("text").alias("part")), "source")
     return both.where(F.contains("text", "part")).select((F.col("target") * 100_000 + F.col("source")).alias("record"), "target", "source")
 

@@ -13,11 +13,13 @@ from echograph.plans import base as B
 
 
 def _summary(name: str, make, sql: str) -> None:
-    """Query name: per unit the number of features, of distinct ones, and the first and last of them."""
+    """Query name: per unit the number of features, of distinct ones, and a sum of hashes of all features with their counts."""
 
-    @register(name, f"WITH {sql} SELECT unit, count(*) AS n, count(DISTINCT f) AS n_distinct, min(f) AS first_f, max(f) AS last_f FROM x GROUP BY unit")
+    @register(name, f"WITH {sql}, bag AS (SELECT unit, f, count(*) AS tf FROM x GROUP BY unit, f) SELECT unit, sum(tf)::BIGINT AS n, count(*) AS n_distinct, sum(('0x' || substr(md5(f || '#' || tf), 1, 8))::BIGINT)::BIGINT AS checksum FROM bag GROUP BY unit")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return make(spark, sf).groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("f").alias("n_distinct"), F.min("f").alias("first_f"), F.max("f").alias("last_f"))
+        bag = FG.bag(make(spark, sf).select("unit", "f"))
+        digest = F.conv(F.substring(F.md5(F.concat_ws("#", "f", F.col("tf").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+        return bag.groupBy("unit").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("n_distinct"), F.sum(digest).alias("checksum"))
 
 
 TT = f"{B.UNITS}, {B.tokens_sql('tt', 'd')}"
