@@ -64,6 +64,15 @@ def one_line(text: Column) -> Column:
     return F.translate(text, "\t\n\r", "   ")
 
 
+#: The characters of bytes 128 to 255 in the code page windows-1251 (byte 152 has none).
+CP1251 = "ЂЃ‚ѓ„…†‡€‰Љ‹ЊЌЋЏђ‘’“”•–—\ufffd™љ›њќћџ\u00a0ЎўЈ¤Ґ¦§Ё©Є«¬\u00ad®Ї°±Ііґµ¶·ё№є»јЅѕїАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯабвгдежзийклмнопрстуфхцчшщъыьэюя"
+
+
+def decode_cp1251(data: Column) -> Column:
+    """Text of bytes in windows-1251: read as Latin-1, then the upper half is put in place."""
+    return F.translate(F.decode(data, "ISO-8859-1"), "".join(map(chr, range(128, 256))), CP1251)
+
+
 def roman(text: Column) -> Column:
     """Value of a Roman numeral; null for anything else."""
     value = lambda c: F.element_at(F.create_map(*[F.lit(x) for p in {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}.items() for x in p]), c)

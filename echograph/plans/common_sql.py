@@ -4,7 +4,7 @@ A query's body names its inputs in braces. For Spark they are DataFrames handed
 other engine they are common table expressions. A few macros stand for what the dialects name
 differently: MEDIAN(x), QUANT(x, p), UNIFORM(text) (a number in [0, 1) from md5), HASHED(text) (32 bits of
 it), SEQ(a, b) and BOTH(..) (one row each), POS(array) (rows i from 0, x), RX'..' (a pattern), SUBALL(s, p, r)
-(all matches), TRYINT(s), LINES(x, i) (rows of a group as lines by i), R6(x) (six digits, halves up), INTS(score)
+(all matches), SPLITTED(s), WORDS_OF(s), TRYINT(s), LINES(x, i) (rows of a group as lines by i), R6(x) (six digits, halves up), INTS(score)
 (a six-digit score as a whole number, so that sums are exact).
 Inputs that many queries share are written once a session (SHARED).
 """
@@ -39,29 +39,54 @@ for _t in "region nation customer supplier part orders lineitem events documents
     table_input(_t)
 
 
+#: Macro: what it is in Spark, what it is in the other engine; $ stands for what is between its brackets.
+MACROS = {
+    "MEDIAN": ("percentile($, 5e-1)", "quantile_cont($, 0.5)"),
+    "QUANT": ("percentile($)", "quantile_cont($)"),
+    "UNIFORM": ("(CAST(conv(substr(md5(CAST($ AS BINARY)), 1, 8), 16, 10) AS DOUBLE) / 4294967296e0)", "(('0x' || substr(md5($), 1, 8))::BIGINT::DOUBLE / 4294967296)"),
+    "HASHED": ("CAST(conv(substr(md5(CAST($ AS BINARY)), 1, 8), 16, 10) AS BIGINT)", "(('0x' || substr(md5($), 1, 8))::BIGINT)"),
+    "SEQ": ("explode(sequence($))", "unnest(generate_series($))"),
+    "BOTH": ("explode(array($))", "unnest([$])"),
+    "POS": ("posexplode($) AS (i, x)", "generate_subscripts($, 1) - 1 AS i, unnest($) AS x"),
+    "STR": ("CAST($ AS STRING)", "CAST($ AS VARCHAR)"),
+    "SUBALL": ("regexp_replace($)", "regexp_replace($, 'g')"),
+    "SPLITTED": ("split($, '\\n')", "string_split($, chr(10))"),
+    "WORDS_OF": ("split($, ' ')", "string_split($, ' ')"),
+    "TRYINT": ("try_cast($ AS BIGINT)", "try_cast($ AS BIGINT)"),
+    "R6": ("(floor(($) * 1e6 + 5e-1) / 1e6)", "(floor(($) * 1e6 + 5e-1) / 1e6)"),
+    "INTS": ("CAST(floor(($) * 1e6 + 5e-1) AS BIGINT)", "CAST(floor(($) * 1e6 + 5e-1) AS BIGINT)"),
+}
+_MACRO = re.compile(rf"\b({'|'.join(MACROS)})\(")
+
+
+def _closing(body: str, at: int) -> int:
+    """Where the bracket that opens before `at` closes; brackets inside quotes do not count."""
+    depth, quoted = 1, False
+    for i in range(at, len(body)):
+        c = body[i]
+        if c == "'":
+            quoted = not quoted
+        elif not quoted and c in "()":
+            depth += 1 if c == "(" else -1
+            if not depth:
+                return i
+    raise ValueError(body[at : at + 80])
+
+
+def _expanded(body: str, engine: int) -> str:
+    out, at = [], 0
+    while m := _MACRO.search(body, at):
+        end = _closing(body, m.end())
+        out += [body[at : m.start()], MACROS[m[1]][engine].replace("$", _expanded(body[m.end() : end], engine))]
+        at = end + 1
+    return "".join(out) + body[at:]
+
+
 def dialect(body: str, engine: str) -> str:
     spark = engine == "spark"
-    arg = r"\(((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*)\)"
-    body = re.sub(r"\bRX'", "r'" if spark else "'", body)
-    rules = [
-        (r"\bHASHED" + arg, r"CAST(conv(substr(md5(CAST(\1 AS BINARY)), 1, 8), 16, 10) AS BIGINT)" if spark else r"(('0x' || substr(md5(\1), 1, 8))::BIGINT)"),
-        (r"\bPOS" + arg, r"posexplode(\1) AS (i, x)" if spark else r"generate_subscripts(\1, 1) - 1 AS i, unnest(\1) AS x"),
-        (r"\bSUBALL" + arg, r"regexp_replace(\1)" if spark else r"regexp_replace(\1, 'g')"),
-        (r"\bTRYINT" + arg, r"try_cast(\1 AS BIGINT)"),
-        (r"\bLINES" + r"\((\w+), (\w+)\)", r"listagg(\1, '\n') WITHIN GROUP (ORDER BY \2)" if spark else r"string_agg(\1, chr(10) ORDER BY \2)"),
-        (r"\bR6" + arg, r"(floor((\1) * 1e6 + 5e-1) / 1e6)"),
-        (r"\bINTS" + arg, r"CAST(floor((\1) * 1e6 + 5e-1) AS BIGINT)"),
-        (r"\bMEDIAN" + arg, r"percentile(\1, 5e-1)" if spark else r"quantile_cont(\1, 0.5)"),
-        (r"\bQUANT" + arg, r"percentile(\1)" if spark else r"quantile_cont(\1)"),
-        (r"\bUNIFORM" + arg, r"(CAST(conv(substr(md5(CAST(\1 AS BINARY)), 1, 8), 16, 10) AS DOUBLE) / 4294967296e0)" if spark else r"(('0x' || substr(md5(\1), 1, 8))::BIGINT::DOUBLE / 4294967296)"),
-        (r"\bSEQ" + arg, r"explode(sequence(\1))" if spark else r"unnest(generate_series(\1))"),
-        (r"\bSTR" + arg, r"CAST(\1 AS STRING)" if spark else r"CAST(\1 AS VARCHAR)"),
-        (r"\bBOTH" + arg, r"explode(array(\1))" if spark else r"unnest([\1])"),
-    ]
-    for _ in range(3):
-        for pattern, to in rules:
-            body = re.sub(pattern, to, body)
-    return body
+    body = _expanded(body, 0 if spark else 1)
+    body = re.sub(r"\bRX'", "r'" if spark else "'", body).replace("BACK(1) || BACK(2)", "'$1$2'" if spark else "'\\1\\2'")
+    return re.sub(r"\bLINES\((\w+), (\w+)\)", r"listagg(\1, '\\n') WITHIN GROUP (ORDER BY \2)" if spark else r"string_agg(\1, chr(10) ORDER BY \2)", body)
 
 
 def needs(body: str) -> list[str]:
@@ -92,7 +117,9 @@ def derive(name: str, body: str) -> None:
 
 def run(spark: SparkSession, sf: str, body: str) -> DataFrame:
     names = needs(body)
-    text = re.sub(r"\{(?![a-z]\w+\})([^{}]*)\}", r"{{\1}}", dialect(body, "spark"))
+    # braces that name no input stand for themselves
+    parts = re.split(NAME, dialect(body, "spark"))
+    text = "".join(f"{{{x}}}" if k % 2 else x.replace("{", "{{").replace("}", "}}") for k, x in enumerate(parts))
     return spark.sql(text, **{n: given(spark, sf, n) for n in names})
 
 

@@ -107,7 +107,6 @@ query("st_ordercmp", "SELECT CAST(count(DISTINCT h) AS BIGINT) AS n_sets, CAST(m
 
 # --- predicates -------------------------------------------------------------------------------------
 query("pf_gold", "SELECT g.record, g.target, s.score FROM {gold} g JOIN {s1} s ON g.target = s.target AND g.source = s.source WHERE s.score >= 6e-1")
-query("pf_status", "SELECT o_orderstatus AS status, count(*) AS n, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS kept FROM {orders} GROUP BY o_orderstatus")
 # words of over a tenth of the documents stand for function words: the same share at every size
 derive("word_df", "SELECT w, count(DISTINCT unit) AS df FROM {tt} GROUP BY w")
 derive("content", "SELECT w FROM {word_df} CROSS JOIN (SELECT count(*) AS n FROM {documents}) c WHERE df * 10 <= n")
@@ -116,9 +115,6 @@ query("pf_rare", "SELECT w, df FROM (SELECT w, count(DISTINCT unit) AS df FROM {
 query("pf_minscore", "SELECT target, source, score FROM {s2} WHERE score >= 3e-1")
 query("pf_self", "SELECT a, b, score FROM {sim} UNION ALL SELECT item_id, item_id, -1e0 FROM {benchmark}")
 query("pf_minlen", "SELECT unit, len FROM {units} WHERE len >= 15")
-query("pf_head", "SELECT doc_id, trim(coalesce(nullif(split_part(text, '.', 1), ''), substr(text, 1, 60))) AS head FROM {documents}")
-query("pf_idparse", "SELECT url, split_part(split_part(url, '//', 2), '/', 1) AS host, split_part(split_part(url, '//', 2), '/', 2) AS chapter FROM {pages}")
-query("pf_obfuscate", "SELECT conv_id, turn, replace(replace(text, 'the', '[A]'), 'and', '[B]') AS t FROM {conversations}")
 query("jd_repeat", "SELECT record, kind, source, SEQ(1, 3) AS rep FROM {decoys} WHERE kind IN ('gold', 'A')")
 
 # --- re-ranking ---------------------------------------------------------------------------------------
@@ -137,5 +133,4 @@ derive("votes", "SELECT a, b, max(v) AS v FROM (SELECT least(a, b) AS a, greates
 derive("xref", "SELECT a, b, R6(1 + ln(1 + greatest(v, 0))) AS w FROM {votes} UNION ALL SELECT b, a, R6(1 + ln(1 + greatest(v, 0))) FROM {votes}")
 query("rr_xref", "SELECT coalesce(s.target, p.target) AS target, coalesce(s.source, p.a) AS source, R6(coalesce(s.score, 0e0) + 3e-1 * coalesce(p.x, 0e0)) AS score_03, R6(coalesce(s.score, 0e0) + 6e-1 * coalesce(p.x, 0e0)) AS score_06 FROM {s2} s FULL OUTER JOIN (SELECT x.target, e.a, CAST(sum(INTS(x.score) * INTS(e.w)) AS DOUBLE) / (max(t.w) * 1e6) AS x FROM {s2} x JOIN {xref} e ON x.source = e.b JOIN (SELECT a, CAST(sum(INTS(w)) AS DOUBLE) AS w FROM {xref} GROUP BY a) t ON e.a = t.a GROUP BY x.target, e.a) p ON s.target = p.target AND s.source = p.a")
 query("rr_cascade", "SELECT target, source, tier, row_number() OVER (PARTITION BY target ORDER BY tier, score DESC, source) AS pos FROM (SELECT a.target, a.source, a.score, CASE WHEN c.score > 0 THEN 1 WHEN b.score > 0 THEN 2 ELSE 3 END AS tier FROM {s1} a LEFT JOIN {s2} b ON a.target = b.target AND a.source = b.source LEFT JOIN {s3} c ON a.target = c.target AND a.source = c.source) x")
-query("io_zipxref", "SELECT least(a, b) AS a, greatest(a, b) AS b, max(n) AS votes FROM (SELECT l_partkey AS a, l_suppkey AS b, count(*) AS n FROM {lineitem} GROUP BY l_partkey, l_suppkey) x WHERE a <> b GROUP BY least(a, b), greatest(a, b)")
 query("io_resume", "SELECT d.doc_id FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from echograph import store
 from echograph.catalog import register
 from echograph.operators import learn as ML
 from echograph.plans import base as B
 from echograph.plans import evaluation  # noqa: F401  its inputs
-from echograph.plans.common_sql import INPUTS, run
+from echograph.plans.common_sql import given, run
 
 FEATURES = ["word", "bigram", "trigram"]
 
@@ -22,35 +23,62 @@ def pool(spark: SparkSession, sf: str) -> DataFrame:
 @register("ml_loto")
 def ml_loto(spark: SparkSession, sf: str) -> DataFrame:
     """Rank of each correct source under models that did not see its document."""
-    fused = ML.leave_one_target_out(pool(spark, sf), FEATURES)
-    return fused.withColumn("pos", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("fused"), "source"))).where("label = 1")
+    return ML.ranks(ML.leave_one_target_out(pool(spark, sf), FEATURES))
+
+
+@register("ml_pairwise")
+def ml_pairwise(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with models of differences between right and wrong candidates."""
+    return ML.ranks(ML.leave_one_target_out(pool(spark, sf), FEATURES, "pairwise"))
+
+
+@register("ml_ablate")
+def ml_ablate(spark: SparkSession, sf: str) -> DataFrame:
+    """All features, each left out in turn, each alone."""
+    sets = {"all": FEATURES} | {f"without {f}": [x for x in FEATURES if x != f] for f in FEATURES} | {f"only {f}": [f] for f in FEATURES}
+    return ML.ablation(store.written(pool(spark, sf), "pool"), sets)
+
+
+@register("ml_loo")
+def ml_loo(spark: SparkSession, sf: str) -> DataFrame:
+    """Detection: each document with gold scored by a model of all others, from its length and best scores."""
+    units = run(spark, sf, "SELECT u.unit, u.y, ln(u.len + 1) AS len, coalesce(a.s, 0e0) AS word, coalesce(b.s, 0e0) AS bigram FROM {units} u LEFT JOIN (SELECT target, max(score) AS s FROM {s1} GROUP BY target) a ON u.unit = a.target LEFT JOIN (SELECT target, max(score) AS s FROM {s2} GROUP BY target) b ON u.unit = b.target")
+    return ML.leave_one_out(units, ["len", "word", "bigram"])
 
 
 @register("ml_heldout")
 def ml_heldout(spark: SparkSession, sf: str) -> DataFrame:
-    """Fitted on even documents, applied to odd ones."""
-    rows = pool(spark, sf).persist()
-    return ML.held_out(rows.where("target % 2 = 0"), rows.where("target % 2 = 1"), FEATURES)
+    """Fitted on the documents of a third of the sources, applied to those of each of the others and of all these together; with what random order would give."""
+    rows = store.written(pool(spark, sf).join(given(spark, sf, "units").select(F.col("unit").alias("target"), "chapter"), "target").withColumn("part", F.pmod(F.crc32(F.col("chapter").cast("binary")), F.lit(3))), "pool")
+    fused = ML.held_out(rows.where("part = 0"), rows.where("part <> 0"), FEATURES)
+    own = Window.partitionBy("target")
+    placed = fused.withColumn("pos", F.row_number().over(own.orderBy(F.desc("fused"), "source"))).withColumn("size", F.count(F.lit(1)).over(own)).withColumn("right", F.sum("label").over(own))
+    best = placed.where("label = 1").groupBy("chapter", "target").agg(F.min("pos").alias("pos"), ((F.max("size") + 1) / (F.max("right") + 1)).alias("chance"))
+    figures = [F.count(F.lit(1)).alias("n"), F.percentile("pos", F.lit(0.5)).alias("median_rank"), F.round(F.avg(F.log("pos")), 6).alias("mean_ln_rank"), F.round(F.avg("chance"), 6).alias("chance_rank")]
+    return best.groupBy("chapter").agg(*figures).unionByName(best.agg(*figures).withColumn("chapter", F.lit("pooled")))
 
 
 @register("sc_contain")
 def sc_contain(spark: SparkSession, sf: str) -> DataFrame:
-    """Containment of the passage in the document, for pairs that share a trigram."""
-    pairs = INPUTS["s3"][0](spark, sf).select("target", "source")
+    """Containment of the passage in the document, by words and by characters, for pairs that share a trigram."""
+    pairs = given(spark, sf, "s3").select("target", "source")
     t, s = B.targets(spark, sf).withColumnsRenamed({"unit": "target"}), B.sources(spark, sf).withColumnsRenamed({"unit": "source", "text": "part"})
-    return pairs.join(t, "target").join(s, "source").select("target", "source", ML.containment("part", "text").alias("score"))
+    both = pairs.join(t, "target").join(s, "source")
+    return both.select("target", "source", ML.containment("part", "text").alias("score"), ML.char_containment("part", "text").alias("char_score"))
 
 
 @register("ln_iso")
 def ln_iso(spark: SparkSession, sf: str) -> DataFrame:
-    """Score less its isotonic expectation from length."""
+    """Score less its isotonic expectation from length, and the same over the isotonic size of these residuals."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression
 
-    best = INPUTS["best"][0](spark, sf).select("unit", "score", F.col("len").cast("double").alias("len")).persist()
+    best = given(spark, sf, "best").select("unit", "score", F.col("len").cast("double").alias("len"))
     rows = VectorAssembler(inputCols=["len"], outputCol="features").transform(best)
     model = IsotonicRegression(labelCol="score", featuresCol="features").fit(rows)
-    return model.transform(rows).select("unit", F.round(F.col("score") - F.col("prediction"), 6).alias("residual"))
+    left = model.transform(rows).withColumn("residual", F.col("score") - F.col("prediction")).withColumn("size", F.abs("residual")).drop("prediction")
+    scale = IsotonicRegression(labelCol="size", featuresCol="features").fit(left)
+    return scale.transform(left).select("unit", F.round("residual", 6).alias("residual"), F.round(F.col("residual") / F.greatest("prediction", F.lit(1e-3)), 4).alias("z"))
 
 
 @register("fg_pc1")

@@ -206,27 +206,6 @@ def sc_cand(spark: SparkSession, sf: str) -> DataFrame:
     return SC.best_ngram(B.target_tokens(spark, sf), B.source_tokens(spark, sf), least=6.0)
 
 
-RARE_ST = "ra AS (SELECT w FROM st GROUP BY w HAVING count(DISTINCT unit) <= 4)"
-
-
-def _rare_tokens(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Tokens whose word is in at most four sources: the runs of common words alone are left out."""
-    st = B.source_tokens(spark, sf)
-    rare = st.groupBy("w").agg(F.count_distinct("unit").alias("df")).where("df <= 4").select("w")
-    return B.target_tokens(spark, sf).join(rare, "w", "left_semi"), st.join(rare, "w", "left_semi")
-
-
-RUN = """h AS (SELECT t.unit AS target, s.unit AS source, t.pos - s.pos AS dg, t.pos AS p FROM tt t JOIN st s ON t.w = s.w {0}),
-il AS (SELECT *, p - row_number() OVER (PARTITION BY target, source, dg ORDER BY p) AS island FROM h),
-rn AS (SELECT target, source, dg, island, count(*) AS n FROM il GROUP BY ALL)"""
-
-
-@register("sc_lcs", f"WITH {B.TOKENS}, {RARE_ST}, {RUN.format('WHERE t.w IN (SELECT w FROM ra)')} SELECT target, source, max(n) AS score FROM rn GROUP BY ALL")
-def sc_lcs(spark: SparkSession, sf: str) -> DataFrame:
-    """Longest common run of rare tokens, by diagonals and islands."""
-    return SC.longest_run(*_rare_tokens(spark, sf))
-
-
 @register("sc_runmatch", f"WITH {B.TOKENS}, {B.ngrams_sql('tg', 'tt', (2, 3, 4, 5, 6, 7, 8))}, {B.ngrams_sql('sg', 'st', (2, 3, 4, 5, 6, 7, 8))} SELECT tg.unit AS target, sg.unit AS source, max(tg.n) AS score FROM tg JOIN sg ON tg.f = sg.f GROUP BY ALL")
 def sc_runmatch(spark: SparkSession, sf: str) -> DataFrame:
     """Length of the longest shared run of 2 to 8 tokens."""

@@ -10,7 +10,7 @@ from echograph.catalog import register
 from echograph.operators import scorers as SC
 from echograph.plans import base as B
 from echograph.plans import evaluation, statistics  # noqa: F401  their inputs
-from echograph.plans.common_sql import INPUTS, derive, query
+from echograph.plans.common_sql import derive, given, query
 
 # --- largest connected component of shared soft edges -------------------------------------------------------
 
@@ -23,23 +23,31 @@ def _largest_component(df: pd.DataFrame) -> pd.DataFrame:
             x = parent[x]
         return x
 
-    for f in df["f"]:
-        a, _, b = f.partition(" ")
+    ends = [f.partition(" ")[::2] for f in df["f"]]
+    for a, b in ends:
         parent[root(a)] = root(b)
     nodes: dict[str, int] = {}
     for x in list(parent):
         nodes[root(x)] = nodes.get(root(x), 0) + 1
-    return pd.DataFrame({"target": [df["target"].iloc[0]], "source": [df["source"].iloc[0]], "nodes": [max(nodes.values())]})
+    worth: dict[str, int] = {}
+    for (a, _), v in zip(ends, df["v"], strict=True):
+        worth[root(a)] = worth.get(root(a), 0) + int(v)
+    return pd.DataFrame({"target": [df["target"].iloc[0]], "source": [df["source"].iloc[0]], "nodes": [max(nodes.values())], "sum_idf": [max(worth.values()) / 1e6]})
 
 
 @register("sc_mcs")
 def sc_mcs(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes of the largest connected part of the soft edges that a pair shares; a group is one pair's edges."""
+    """Nodes of the largest connected part of the soft edges that a pair shares, and the largest idf sum of a part; pairs of one edge need no group."""
     from echograph.operators import features as FG
 
     keys = lambda tok: FG.edge_keys(FG.dependency_edges(FG.chain_topology(tok)), "soft").distinct()
-    t, s = keys(B.target_tokens(spark, sf)).withColumnRenamed("unit", "target"), keys(B.source_tokens(spark, sf)).withColumnRenamed("unit", "source")
-    return t.join(s, "f").groupBy("target", "source").applyInPandas(_largest_component, "target long, source long, nodes long")
+    t, s = keys(given(spark, sf, "tt")).withColumnRenamed("unit", "target"), keys(given(spark, sf, "st")).withColumnRenamed("unit", "source")
+    n = s.agg(F.count_distinct("source").alias("n"))
+    idf = s.groupBy("f").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("f", F.round(F.log(F.col("n") / F.col("df")) * 1_000_000).cast("long").alias("v"))
+    met = t.join(s.join(idf, "f"), "f").groupBy("target", "source").agg(F.count(F.lit(1)).alias("k"), F.collect_list(F.struct("f", "v")).alias("edges"))
+    one = met.where("k = 1").select("target", "source", F.when(F.split(F.col("edges")[0]["f"], " ")[0] == F.split(F.col("edges")[0]["f"], " ")[1], 1).otherwise(2).cast("long").alias("nodes"), (F.col("edges")[0]["v"] / 1e6).alias("sum_idf"))
+    more = met.where("k > 1").select("target", "source", F.explode("edges").alias("e")).select("target", "source", "e.f", "e.v")
+    return one.unionByName(more.groupBy("target", "source").applyInPandas(_largest_component, "target long, source long, nodes long, sum_idf double"))
 
 
 # --- ordered folds --------------------------------------------------------------------------------------------
@@ -62,37 +70,6 @@ def io_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return B.read(spark, sf, "documents").select("doc_id", F.posexplode(blocks).alias("block", "n_words"))
 
 
-@register("io_notes", r"""WITH l AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))
-SELECT doc_id, i, max(CASE WHEN length(line) < 60 THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS header, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next_line FROM l""")
-def io_notes(spark: SparkSession, sf: str) -> DataFrame:
-    """Each line with the last short line before it, which stands as its header, and the next line."""
-    from pyspark.sql import Window
-
-    lines = B.read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    by = Window.partitionBy("doc_id").orderBy("i")
-    return lines.select("doc_id", "i", F.last(F.when(F.length("line") < 60, F.col("i")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("header"), F.lead("i").over(by).alias("next_line"))
-
-
-@register("io_fb2", r"""WITH l AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
-c AS (SELECT *, sum(CASE WHEN length(line) < 60 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS chapter FROM l)
-SELECT doc_id, i, chapter::BIGINT AS chapter, row_number() OVER (PARTITION BY doc_id, chapter ORDER BY i) AS paragraph FROM c""")
-def io_fb2(spark: SparkSession, sf: str) -> DataFrame:
-    """Paragraph numbers that start anew at each chapter marker (a short line)."""
-    from pyspark.sql import Window
-
-    lines = B.read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    mark = F.sum(F.when(F.length("line") < 60, 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("chapter", mark).select("doc_id", "i", "chapter", F.row_number().over(Window.partitionBy("doc_id", "chapter").orderBy("i")).alias("paragraph"))
-
-
-@register("io_booksplit", r"""WITH l AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))
-SELECT line AS heading, max(doc_id * 100000 + i) AS last_at, count(*) AS n FROM l WHERE length(line) BETWEEN 3 AND 40 GROUP BY line""")
-def io_booksplit(spark: SparkSession, sf: str) -> DataFrame:
-    """Headings with their last occurrence."""
-    lines = B.read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where(F.length("line").between(3, 40))
-    return lines.groupBy(F.col("line").alias("heading")).agg(F.max(F.col("doc_id") * 100_000 + F.col("i")).alias("last_at"), F.count(F.lit(1)).alias("n"))
-
-
 # --- dense ------------------------------------------------------------------------------------------------------
 
 
@@ -114,12 +91,7 @@ def fg_graphvec(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- shared SQL ---------------------------------------------------------------------------------------------------
-query("sc_surprisal_mask", "SELECT t.unit AS target, s.unit AS source, count(*) AS n_masked FROM {tt} t JOIN {st} s ON substr(t.w, 1, 5) = substr(s.w, 1, 5) AND length(t.w) >= 5 AND length(s.w) >= 5 JOIN {gold} g ON t.unit = g.target AND s.unit = g.source GROUP BY t.unit, s.unit")
 query("rr_bestsent", "SELECT target, source, CAST(start AS BIGINT) AS window, score FROM (SELECT target, source, start, n AS score, row_number() OVER (PARTITION BY target, source ORDER BY n DESC, start) AS r FROM (SELECT t.unit AS target, s.unit AS source, floor(t.pos / 20) AS start, count(DISTINCT t.w) AS n FROM {tt} t JOIN {st} s ON t.w = s.w JOIN {gold} g ON t.unit = g.target AND s.unit = g.source GROUP BY t.unit, s.unit, floor(t.pos / 20)) x) y WHERE r = 1")
-query("sc_syn2", "SELECT a.target, a.source, a.n AS n_shared, round(a.n * 1e0 / b.n, 6) AS cover_src FROM (SELECT t.unit AS target, s.unit AS source, count(DISTINCT t.w) AS n FROM {tt} t JOIN {st} s ON t.w = s.w AND t.pos % 2 = s.pos % 2 GROUP BY t.unit, s.unit) a JOIN (SELECT unit, count(DISTINCT w) AS n FROM {st} GROUP BY unit) b ON a.source = b.unit")
-query("pf_reftext", "SELECT page_id, lower(split_part(split_part(url, '.', 1), '//', 2)) AS book, split_part(url, '/', 5) AS verse FROM {pages}")
-query("pf_xrefparse", "SELECT n_nationkey AS k, SEQ(CAST(n_nationkey AS INT), CAST(n_nationkey + 3 AS INT)) AS verse FROM {nation}")
-query("gd_order", "SELECT min(n) AS smallest, max(n) AS largest FROM (SELECT count(*) AS n FROM (SELECT * FROM {s1} WHERE score > 3e-1) a WHERE source % 2 = 0 UNION ALL SELECT count(*) FROM (SELECT * FROM {s1} WHERE source % 2 = 0) b WHERE score > 3e-1) x")
 query("bs_wins", "SELECT round(avg(CASE WHEN a > b THEN 1e0 ELSE 0e0 END), 6) AS share FROM (SELECT rep, avg(ln(r2.rank)) AS b, avg(ln(r3.rank)) AS a FROM {draws} d JOIN {lograte} l ON d.pick = l.i JOIN {rank_s2} r2 ON l.record = r2.record JOIN {rank_s3} r3 ON l.record = r3.record GROUP BY rep) x")
 derive("fitted", "SELECT unit, score, len, y, abs(score - (slope * ln(len + 1) + icpt)) AS res, score - (slope * ln(len + 1) + icpt) AS r FROM {best} CROSS JOIN (SELECT regr_slope(score, ln(len + 1)) AS slope, regr_intercept(score, ln(len + 1)) AS icpt FROM {best}) z")
 query("ln_reghet", "SELECT unit, round(r / greatest(s2 * ln(len + 1) + i2, 1e-1 * med), 4) AS z FROM {fitted} CROSS JOIN (SELECT regr_slope(res, ln(len + 1)) AS s2, regr_intercept(res, ln(len + 1)) AS i2, MEDIAN(res) AS med FROM {fitted}) z")
@@ -128,7 +100,7 @@ query("ln_reghet", "SELECT unit, round(r / greatest(s2 * ln(len + 1) + i2, 1e-1
 @register("gu_guards")
 def gu_guards(spark: SparkSession, sf: str) -> DataFrame:
     """What the guards see in each scorer: rows, non-finite and constant scores; a query that hides none of them."""
-    scores = INPUTS["scores"][0](spark, sf)
+    scores = given(spark, sf, "scores")
     odd = F.isnan("score") | F.col("score").isNull()
     seen = scores.groupBy("scorer").agg(F.count(F.lit(1)).alias("n"), F.sum(odd.cast("long")).alias("n_odd"), (F.max("score") == F.min("score")).alias("constant"))
     return seen.select("*", F.when((F.col("n_odd") > 0) | F.col("constant"), F.raise_error(F.lit("a scorer is constant or not finite"))).otherwise("ok").alias("state"))

@@ -11,34 +11,6 @@ from echograph.plans import base as B
 from echograph.streaming import events as EV
 
 
-@register("io_html", r"""SELECT page_id, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)[1] AS title, len(regexp_extract_all(html, '<p[ >]')) AS n_paragraphs FROM pages""")
-def io_html(spark: SparkSession, sf: str) -> DataFrame:
-    html = F.col("html")
-    return B.read(spark, sf, "pages").select("page_id", F.try_element_at(F.regexp_extract_all(html, F.lit("<h1>([^<]*)</h1>"), 1), F.lit(1)).alias("title"), F.size(F.regexp_extract_all(html, F.lit("<p[ >]"), 0)).cast("long").alias("n_paragraphs"))
-
-
-_UN = "regexp_replace(html, '<[^>]*>', ' ', 'g')"
-for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-    _UN = f"replace({_UN}, '{_a}', '{_b}')"
-
-
-@register("io_xmlseg", rf"SELECT page_id, trim(regexp_replace({_UN}, '\s+', ' ', 'g')) AS text FROM pages")
-def io_xmlseg(spark: SparkSession, sf: str) -> DataFrame:
-    """Tags stripped, character references decoded, white space squeezed."""
-    return B.read(spark, sf, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))
-
-
-@register("io_wiki", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<!--[^>]*-->', '', 'g'), '<(script|style)[^<]*</(script|style)>', '', 'g')) AS t FROM pages")
-def io_wiki(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.regexp_replace(F.regexp_replace("html", "<!--[^>]*-->", ""), "<(script|style)[^<]*</(script|style)>", "")
-    return B.read(spark, sf, "pages").select("page_id", F.trim(t).alias("t"))
-
-
-@register("io_sent", r"SELECT doc_id, generate_subscripts(s, 1) - 1 AS k, unnest(s) AS sentence FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?]*') AS s FROM documents)")
-def io_sent(spark: SparkSession, sf: str) -> DataFrame:
-    return B.read(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]*"), 0)).alias("k", "sentence"))
-
-
 @register("io_chunk", f"WITH {B.UNITS}, {B.tokens_sql('tt', 'd')} SELECT unit, pos // 128 AS chunk, count(*) AS n, string_agg(w, ' ' ORDER BY pos) AS words FROM tt GROUP BY ALL")
 def io_chunk(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of 128 tokens."""
@@ -54,21 +26,11 @@ def io_paras(spark: SparkSession, sf: str) -> DataFrame:
     return B.read(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(lines, lambda x: x["text"]), " ").alias("text"))
 
 
-@register("io_dehyphen", r"SELECT doc_id, regexp_replace(replace(text, '. ', '-' || chr(10)), '(\p{L})-\n(\p{L})', '\1\2', 'g') AS t FROM documents")
-def io_dehyphen(spark: SparkSession, sf: str) -> DataFrame:
-    return B.read(spark, sf, "documents").select("doc_id", T.dehyphenate(F.replace("text", F.lit(". "), F.lit("-\n"))).alias("t"))
-
-
 @register("io_sink", "SELECT doc_id, translate(text, chr(9) || chr(10) || chr(13), '   ') AS t FROM documents")
 def io_sink(spark: SparkSession, sf: str) -> DataFrame:
     return B.read(spark, sf, "documents").select("doc_id", T.one_line(F.col("text")).alias("t"))
 
 
-@register("pf_quotes", r"""SELECT page_id, unnest(regexp_extract_all(html, '"([^"]{2,40})"', 1)) AS quoted FROM pages""")
-def pf_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    return B.read(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('"([^"]{2,40})"'), 1)).alias("quoted"))
-
-
 @register("pf_refparse", r"""WITH r AS (SELECT n_nationkey AS k, 'PSA.' || n_nationkey || '.3-7;MAT.1.' || (n_nationkey + 2) || ';bad' AS refs FROM nation),
 p AS (SELECT k, unnest(string_split(refs, ';')) AS ref FROM r) SELECT k, split_part(ref, '.', 1) AS book, split_part(ref, '.', 2)::INT AS chapter, split_part(split_part(ref, '.', 3), '-', 1)::INT AS v_from, coalesce(nullif(split_part(split_part(ref, '.', 3), '-', 2), ''), split_part(ref, '.', 3))::INT AS v_to
 FROM p WHERE regexp_full_match(ref, '[A-Z0-9]+\.\d+\.\d+(-\d+)?')""")
@@ -80,19 +42,6 @@ def pf_refparse(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("k", at(1).alias("book"), at(2).cast("int").alias("chapter"), at(3).cast("int").alias("v_from"), F.coalesce(F.nullif(at(4), F.lit("")), at(3)).cast("int").alias("v_to"))
 
 
-@register("jd_parse", r"""WITH r AS (SELECT doc_id, 'so ```json {"score": ' || (doc_id % 6) || ', "why": "x"} ```' AS raw FROM documents) SELECT doc_id, CASE WHEN s BETWEEN 0 AND 3 THEN s END AS score FROM (SELECT doc_id, regexp_extract(raw, '"score": (\d+)', 1)::INT AS s FROM r)""")
-def jd_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """Score of a verdict inside free text: JSON between braces, scores out of range are null."""
-    raw = F.concat(F.lit('so ```json {"score": '), F.col("doc_id") % 6, F.lit(', "why": "x"} ```'))
-    score = F.from_json(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), "score int, why string")["score"]
-    return B.read(spark, sf, "documents").select("doc_id", score.alias("s")).select("doc_id", F.when(F.col("s").between(0, 3), F.col("s")).alias("score"))
-
-
-@register("fn_roman", "SELECT * FROM (VALUES (1, 4), (2, 1994), (3, NULL), (4, 9)) t(id, value)")
-def fn_roman(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(1, "IV"), (2, "mcmxciv"), (3, "abc"), (4, "IX")], "id int, r string").select("id", T.roman(F.col("r")).alias("value"))
-
-
 @register("ev_tumbling", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def ev_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     return EV.windowed_counts(B.read(spark, sf, "events"))

@@ -148,7 +148,6 @@ derive("content_src", "SELECT s.unit, s.w, count(*) AS tf FROM {st} s JOIN {cont
 derive("content_tgt", "SELECT t.unit, t.w, count(*) AS tf FROM {tt} t JOIN {content} c ON t.w = c.w GROUP BY t.unit, t.w")
 derive("content_idf", "SELECT c.w, ln(n.n * 1e0 / greatest(coalesce(d.df, 0), 1)) AS idf FROM {content} c LEFT JOIN (SELECT w, count(*) AS df FROM {content_src} GROUP BY w) d ON c.w = d.w CROSS JOIN {n_src} n")
 query("sc_content", "SELECT d.target, d.source, round(d.dot / (a.n * b.n), 6) AS score FROM (SELECT t.unit AS target, s.unit AS source, sum(t.tf * s.tf * i.idf * i.idf) AS dot FROM {content_tgt} t JOIN {content_src} s ON t.w = s.w JOIN {content_idf} i ON i.w = s.w GROUP BY t.unit, s.unit) d JOIN (SELECT t.unit, sqrt(sum(t.tf * t.tf * i.idf * i.idf)) AS n FROM {content_tgt} t JOIN {content_idf} i ON t.w = i.w GROUP BY t.unit) a ON d.target = a.unit JOIN (SELECT s.unit, sqrt(sum(s.tf * s.tf * i.idf * i.idf)) AS n FROM {content_src} s JOIN {content_idf} i ON s.w = i.w GROUP BY s.unit) b ON d.source = b.unit WHERE a.n > 0 AND b.n > 0")
-query("sc_lex2", "SELECT t.target, t.source, t.score AS cover, b.score AS bigram_cover, c.score AS trigram_cover FROM {s1} t JOIN {s2} b ON t.target = b.target AND t.source = b.source LEFT JOIN {s3} c ON t.target = c.target AND t.source = c.source")
 # every normaliser, against all units and against those without gold, with its AUC, its correlation with length and its recall among the first 50
 CELLS = [f"zbin_{k}" for k in (5, 10, 20, 40, 80, 160, 320)] + [f"zbinr_{k}" for k in (10, 40, 160)] + ["zbin0"] + [f"zknn_{k}" for k in (25, 50, 100, 200, 400)] + [f"rknn_{k}" for k in (50, 100, 200, 400)]
 derive("cells", " UNION ALL ".join(["SELECT 'raw' AS norm, unit, len, y, round(score, 3) AS z FROM {best}", "SELECT 'per_token', unit, len, y, round(score / greatest(len, 1), 3) FROM {best}", "SELECT 'per_ln', unit, len, y, round(score / ln(len + 2), 3) FROM {best}"] + [f"SELECT '{c}', unit, len, y, round(z, 3) FROM {{{c}}}" for c in CELLS]))

@@ -92,6 +92,66 @@ def test_files(spark, tmp_path):
     assert files.pending(df, df.where("id = 1"), "id").count() == 1
 
 
+def test_annotations_scores_vectors_and_archives(spark, tmp_path):
+    import zipfile
+
+    import numpy as np
+
+    rows = [("u1", ["a", "b"], ["X", "Y"], [-1, 0], ["ROOT", "obj"]), ("u2", ["c"], ["X"], None, None)]
+    df = spark.createDataFrame(rows, "id string, lemmas array<string>, pos array<string>, heads array<int>, rels array<string>")
+    files.write_annotations(df, str(tmp_path / "a"))
+    got = sorted((r.unit, r.pos, r.w, r.upos, r.head, r.rel) for r in files.read_annotations(spark, str(tmp_path / "a")).collect() if r.unit == "u1")
+    assert got == [("u1", 0, "a", "X", None, "ROOT"), ("u1", 1, "b", "Y", 0, "obj")]
+    edges = FG.dependency_edges(files.read_annotations(spark, str(tmp_path / "a"))).collect()
+    assert [(e.head, e.rel, e.child) for e in edges] == [("a", "obj", "b")]
+    np.savez(tmp_path / "v.npz", ids=np.array(["x", "y"]), embeddings=np.eye(2, dtype=np.float32))
+    assert sorted((r.unit, r.v) for r in files.read_npz(spark, str(tmp_path / "v.npz")).collect()) == [("x", [1.0, 0.0]), ("y", [0.0, 1.0])]
+    scores = spark.createDataFrame([("bm25", 1, 2, 0.5), ("run", 1, 2, 3.0)], "scorer string, target long, source long, score double")
+    files.write_scores(scores, str(tmp_path / "s"))
+    assert files.read_scores(spark, str(tmp_path / "s"), "run").collect()[0].score == 3.0 and files.read_scores(spark, str(tmp_path / "s")).count() == 2
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("x.txt", "from\tto\tvotes\nGen.1.1\tJoh.1.1\t5\nGen.1.2\tJer.4.23\t-1\n")
+    assert sorted(tuple(r) for r in files.read_zipped_tsv(spark, str(tmp_path / "x.zip"), ["a", "b", "votes"]).collect()) == [("Gen.1.1", "Joh.1.1", "5"), ("Gen.1.2", "Jer.4.23", "-1")]
+
+
+def test_windows_1251(spark):
+    text = "Ёж — «Привет» № 5"
+    assert spark.createDataFrame([(bytearray(text.encode("cp1251")),)], "b binary").select(T.decode_cp1251(F.col("b"))).first()[0] == text
+
+
+def test_learning(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(0)
+    rows = [(t, s, int(s == t % 5), float((s == t % 5) * 1.0 + draw.normal()), float(draw.normal())) for t in range(40) for s in range(5)]
+    pool = spark.createDataFrame(rows, "target long, source long, label int, a double, b double")
+    table = pool.toPandas().sort_values(["target", "source"])
+    for how in ("pointwise", "pairwise"):
+        got = {(r.target, r.source): r.fused for r in ML.leave_one_target_out(pool, ["a", "b"], how).collect()}
+        rest, own = table[table["target"] != 7], table[table["target"] == 7]
+        x, y = ML.pairwise(rest, ["a", "b"]) if how == "pairwise" else (rest[["a", "b"]].to_numpy(), rest["label"].to_numpy(float))
+        want = ML.score(own[["a", "b"]].to_numpy(), ML.fit(x, y, bias=how != "pairwise"))
+        assert [got[7, s] for s in own["source"]] == pytest.approx(list(want), abs=1e-5)
+    w, mean, std = ML.fit(table[["a", "b"]].to_numpy(), table["label"].to_numpy(float))
+    z = np.column_stack([(table[["a", "b"]].to_numpy() - mean) / std, np.ones(len(table))])
+    slope = z.T @ (1 / (1 + np.exp(-z @ w)) - table["label"].to_numpy(float)) + np.array([2.0, 2.0, 0.0]) * w
+    assert np.abs(slope).max() < 1e-3
+    figures = {r.label: r for r in ML.ablation(pool, {"all": ["a", "b"], "only b": ["b"]}).collect()}
+    assert figures["all"].delta == 0 and figures["only b"].delta > 0
+    assert ML.sample(pool, 50).count() < 120
+    loo = ML.leave_one_out(pool.where("source < 2").selectExpr("target * 10 + source AS unit", "label AS y", "a"), ["a"])
+    assert loo.count() == 80
+
+
+def test_numbered_places(spark):
+    from echograph.plans import common_sql as C
+
+    C.INPUTS["some_rows"] = (lambda s, d: s.createDataFrame([(u, (u * 7) % 4) for u in range(50)], "unit long, len long"), "", ())
+    got = {r.unit: (r.pos, r.n) for r in C.run(spark, SF, C.numbered("some_rows", "len", chunk=8)).collect()}
+    order = sorted(range(50), key=lambda u: ((u * 7) % 4, u))
+    assert got == {u: (k, 50) for k, u in enumerate(order)}
+
+
 def test_stream_counts_equal_batch(spark, tmp_path):
     from echograph.streaming import events as EV
 
@@ -112,7 +172,7 @@ def test_every_query_has_a_name_and_twins_are_known():
     assert len(catalog.queries()) > 150 and set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
-TWINS = ["sc_bm25_top3", "fg_stem", "sc_run", "ag_auc", "mt_holm", "pt_fisher", "io_chunk", "st_pool", "rr_fuse", "ln_reg"]
+TWINS = ["sc_bm25_top3", "fg_stem", "fg_wl", "sc_run", "sc_lcs", "ag_auc", "ag_topmean", "mt_holm", "pt_fisher", "io_chunk", "io_notes", "io_wiki", "pf_idparse", "pf_reftext", "st_pool", "rr_fuse", "rr_hub", "rr_graph", "rr_xref", "ln_reg", "ln_zknn", "bs_aucdiff", "ga_synth", "jd_auc", "jn_band"]
 
 
 @pytest.mark.parametrize("name", TWINS)
