@@ -208,7 +208,7 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     df = df.drop(*[c for c in ("score", "limit", "kept") if c in df.columns])
     ids = common.written(trusted_ids(labels), "trusted")
     trusted = df.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(common.bounded(ids, common.BROADCAST_IDS), F.col("id") == F.col("trusted_id"), "left_semi")
-    counts = common.written(with_all(count(trusted)), "gram-counts")
+    counts = common.written(with_all(common.written(count(trusted), "gram-counts")), "gram-counts-all")
     models = common.written(tables(counts), "gram-tables")
     found = [r[0] for r in models.select("lang").collect()]
     known = sorted(x for x in found if x != ALL)
