@@ -275,22 +275,20 @@ def groups(links: DataFrame) -> DataFrame:
                 if p != q:
                     parent[max(p, q)] = min(p, q)
         if parent:
-            yield pa.RecordBatch.from_arrays([pa.array(list(parent), b.schema.field(0).type), pa.array([root(x) for x in parent], b.schema.field(0).type)], ["a", "b"])
+            members, roots = list(parent), [root(x) for x in parent]
+            yield pa.RecordBatch.from_arrays([pa.array(members + roots, b.schema.field(0).type), pa.array(roots + members, b.schema.field(0).type)], ["a", "b"])
 
     kind = links.schema["a"].dataType.simpleString()
-    edges = common.written(links.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}"), "forest")  # of each task: member, root
-    both = edges.union(edges.select("b", "a")).distinct()
-    both = common.written(both, "forest-both")
+    both = common.written(links.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}").distinct(), "forest")  # of each task: member and root, both ways
     labels = common.written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         offered = both.join(labels, both["b"] == labels["id"]).select(F.col("a").alias("id"), "label")
         # shortcut: the label of one's label
         jumped = labels.select(F.col("id").alias("i"), F.col("label").alias("l")).join(labels.withColumnRenamed("label", "l2"), F.col("l") == F.col("id")).select(F.col("i").alias("id"), F.col("l2").alias("label"))
-        new = offered.unionByName(jumped).unionByName(labels).groupBy("id").agg(F.min("label").alias("label"))
-        new = common.written(new, "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
-        labels = new
-        if not changed:
+        offers = offered.unionByName(jumped).withColumn("old", F.lit(None).cast(kind)).unionByName(labels.withColumn("old", F.col("label")))
+        new = common.written(offers.groupBy("id").agg(F.min("label").alias("label"), F.min("old").alias("old")), "labels")
+        labels = new.select("id", "label")
+        if not new.where("label <> old").limit(1).count():
             return labels
 
 
