@@ -21,6 +21,8 @@ GAP = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 50_000
 #: The same for a table of one id column.
 BROADCAST_IDS = 1_000_000
+#: Rows of a file of a narrow table (ids and numbers), where a bound on its rows is known.
+FILE_ROWS = 500_000
 #: Rows of an Arrow batch at most: executor and worker each hold one, whole texts included.
 ARROW_ROWS = 1_000
 
@@ -41,9 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
     return got
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts lineage and survives lost executors. It goes as the driver ends."""
+def files(spark: SparkSession, rows: int) -> int:
+    """Files of a narrow table of `rows` rows: one a core or FILE_ROWS rows, and no more than a shuffle would leave."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))))
+
+
+def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder, read again: cuts lineage and survives lost executors. It goes as the driver ends.
+
+    rows: an upper bound on the rows of a narrow table. They are dealt out evenly to a few files, where a
+    shuffle of many partitions would leave a small file in each, whatever the table's size.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.repartition(files(spark, rows))
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

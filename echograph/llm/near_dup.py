@@ -279,14 +279,15 @@ def groups(links: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(members + roots, b.schema.field(0).type), pa.array(roots + members, b.schema.field(0).type)], ["a", "b"])
 
     kind = links.schema["a"].dataType.simpleString()
-    both = common.written(links.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}").distinct(), "forest")  # of each task: member and root, both ways
-    labels = common.written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    rows = 4 * links.count()  # two documents a link, each with its root, both ways
+    both = common.written(links.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}").distinct(), "forest", rows)  # of each task: member and root, both ways
+    labels = common.written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels", rows)
     while True:
         offered = both.join(labels, both["b"] == labels["id"]).select(F.col("a").alias("id"), "label")
         # shortcut: the label of one's label
         jumped = labels.select(F.col("id").alias("i"), F.col("label").alias("l")).join(labels.withColumnRenamed("label", "l2"), F.col("l") == F.col("id")).select(F.col("i").alias("id"), F.col("l2").alias("label"))
         offers = offered.unionByName(jumped).withColumn("old", F.lit(None).cast(kind)).unionByName(labels.withColumn("old", F.col("label")))
-        new = common.written(offers.groupBy("id").agg(F.min("label").alias("label"), F.min("old").alias("old")), "labels")
+        new = common.written(offers.groupBy("id").agg(F.min("label").alias("label"), F.min("old").alias("old")), "labels", rows)
         labels = new.select("id", "label")
         if not new.where("label <> old").limit(1).count():
             return labels
@@ -401,21 +402,21 @@ def detect(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         one = docs.where("id is not null").groupBy("id").agg(F.max("text").alias("text"))
         docs = common.written(docs.select("id").join(one, "id").unionByName(docs.where("id is null")), "documents")
         sets = common.written(sets_of(docs), "sets")
-    reps = common.written(classes(sets), "classes")
+    reps = common.written(classes(sets), "classes", sets.count())
     sigs = common.written(sets.select("id", "n", "keys", "values").dropDuplicates(["id"]).join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), "signatures")
     rows = sigs.select(F.explode("keys").alias("key"), "id", "n")
-    met = common.written(rows.join(rows.groupBy("key").count().where("count > 1"), "key"), "buckets")
-    tried = common.written(_agreeing(_ordered(met.join(_centres(met), "key"), "id", "centre"), sigs), "candidates")
-    links = common.written(_verified(tried, docs), "links")
+    met = common.written(rows.join(rows.groupBy("key").count().where("count > 1"), "key"), "buckets", BANDS * reps.count())
+    tried = common.written(_agreeing(_ordered(met.join(_centres(met), "key"), "id", "centre"), sigs), "candidates", met.count())
+    links = common.written(_verified(tried, docs), "links", tried.count())
     labels = groups(links)
     # what the centres did not join: members outside the largest group of their bucket meet all of it
     marked = met.where("count > 2").join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
     sizes = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     heads = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", (-F.col("label")).alias("low"))).alias("head"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    open_ = common.written(marked.join(heads.select("key", "head"), "key"), "open")
+    open_ = common.written(marked.join(heads.select("key", "head"), "key"), "open", met.count())
     left = open_.where("label <> head").drop("head")
     if left.limit(1).count():
-        labels = groups(links.unionByName(common.written(_blocks(left, open_.drop("head"), docs), "links")))
+        labels = groups(links.unionByName(common.written(_blocks(left, open_.drop("head"), docs), "links", open_.count())))
     known = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("label", "rep").alias("component_id"))
     out = sets.select("id", "n", "h1", "h2").join(known, ["h1", "h2", "n"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
@@ -423,7 +424,7 @@ def detect(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """df without the documents that detect() drops: one of each group is left."""
-    gone = common.written(detect(df, text, key).where("not kept").select(F.col(key).alias("__gone")).distinct(), "dropped")
+    gone = common.written(detect(df, text, key).where("not kept").select(F.col(key).alias("__gone")).distinct(), "dropped", df.count())
     return df.join(common.bounded(gone, common.BROADCAST_IDS), F.col(key) == F.col("__gone"), "left_anti")
 
 

@@ -247,3 +247,14 @@ def test_long_and_repeated_urls_finish(spark):
 def url_tokens(url):
     host, _, path = url.split("://")[1].partition("/")
     return [*(f"h:{x}" for x in host.split(".")), *(f"p:{x}" for x in path.split("/"))]
+
+
+def test_narrow_tables_have_few_files_and_all_rows(spark):
+    df = spark.range(5000).repartition(40)
+    for rows, least in ((5000, 1), (0, 1), (10**9, 1)):
+        got = common.written(df, "narrow", rows)
+        assert sorted(r[0] for r in got.collect()) == list(range(5000))
+        assert least <= len(got.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert common.written(df.where("id < 0"), "narrow", 0).count() == 0
+    assert common.files(spark, 10**12) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert common.files(spark, 0) >= 1
