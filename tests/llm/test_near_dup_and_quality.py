@@ -190,6 +190,52 @@ def test_scores_equal_the_join(spark, texts):
         assert abs(joined[i] - sum(table[g].sum(dtype=float) for g in ngram_quality.grams(t.encode()))) < 1e-3
 
 
+def test_verdicts_come_through_the_join(spark, texts, monkeypatch):
+    """No table is sent whole: every score of judge() is a sum over shards, whatever the number of models, copies and salts."""
+    monkeypatch.setattr(ngram_quality, "GROUP_BYTES", 2_000)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("a table is sent to the tasks"))
+    good, bad = texts
+    rows = [(i, t, f"l{i % 20}") for i, t in enumerate(good + bad + good[:20])] + [(900, None, "l1"), (901, "", None), (902, good[0] * 3, "xx"), (None, good[1], None)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, model int").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    judged = ngram_quality.judge(docs, labels)
+    assert judged.columns == [*docs.columns, "score", "limit", "kept"]
+    got = {r.doc_id: r for r in judged.collect()}
+    assert len(got) == len(rows) == judged.count()
+    models = {}
+    for name in [f"l{k}" for k in range(20)] + [ngram_quality.ALL]:
+        c = np.zeros(ngram_quality.CELLS, np.int64)
+        for i, t, lang in rows[:200]:
+            if name in (lang, ngram_quality.ALL):
+                for g in ngram_quality.grams(t.encode()):
+                    np.add.at(c, g, 1)
+        cost = np.round(-ngram_quality.kneser_ney(c) * 2048)
+        models[name] = cost, (cost * c).sum() / c.sum() / 2048
+    for i, t, lang in rows:
+        t = (t or "").encode()
+        cost, mean = models[lang if lang in models else ngram_quality.ALL]
+        total = sum(cost[g].sum() for g in ngram_quality.grams(t)) / 2048
+        assert abs(got[i].score - (total + 100 * mean) / (len(t) + 100)) < 6e-5
+        assert got[i].kept == (got[i].score <= got[i].limit)
+
+
+def test_packed_counts_of_a_block(monkeypatch):
+    draw = random.Random(6)
+    block = [bytes(draw.choice(b"etaoin ,.X1\xc3\xa9") for _ in range(draw.choice([0, 1, 30, 4000]))) for _ in range(60)] + [b"a" * 5000, b""]
+    want = [sum(np.bincount(ngram_quality.placed(g), minlength=ngram_quality.CELLS) for g in ngram_quality.grams(t)) for t in block]
+    rows = ngram_quality.SHARDS
+    whole = ngram_quality.block_counts(block)
+    monkeypatch.setattr(ngram_quality, "STEP", 700)  # long texts are counted apart, slice by slice
+    assert len(whole) == rows and all((x == y).all() for a, b in zip(whole, ngram_quality.block_counts(block), strict=True) for x, y in zip(ngram_quality.unpack(a), ngram_quality.unpack(b), strict=True))
+    seen = np.zeros((len(block), ngram_quality.CELLS), np.int64)
+    for keys, n in map(ngram_quality.unpack, whole):
+        seen[keys % ngram_quality.BLOCK_DOCS, keys // ngram_quality.BLOCK_DOCS] += n
+    assert all((a == b).all() for a, b in zip(seen, want, strict=True))
+    cost = np.arange(ngram_quality.CELLS) % 977
+    parts = [ngram_quality.shard_costs(p, k, cost[k * ngram_quality.WIDTH : (k + 1) * ngram_quality.WIDTH].astype(float), len(block)) for k, p in enumerate(whole)]
+    assert sum(parts).tolist() == (seen @ cost).tolist()
+
+
 def plain_kneser_ney(texts, order=4):
     """Interpolated modified Kneser-Ney over symbol classes from the textbook's formulas: dictionaries, recursion, no arrays."""
     from collections import Counter, defaultdict
