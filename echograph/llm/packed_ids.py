@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 BLOCK_IDS = 65_536
 CACHE = 700_000
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 4_000_000
+#: Bytes of a text that are cut into units at once.
+PART_BYTES = 4_000_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -72,11 +75,22 @@ PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+#: Kinds of bytes. Odd ones (not printable ASCII, and the apostrophe, which can begin a piece of its own) leave their run whole.
+SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
+KINDS = np.full(256, ODD, np.uint8)
+for _kind, _bytes in ((SIGN, range(33, 127)), (SPACE, (32, *range(9, 14))), (LETTER, (*range(65, 91), *range(97, 123))), (DIGIT, range(48, 58)), (ODD, b"'")):
+    KINDS[list(_bytes)] = _kind
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACES = re.compile(rb"[ \t-\r]")
+
+
 class WordEncoder:
-    """The tokenizer of a file; white space splits its input, so each run between ASCII white space is encoded once.
+    """The tokenizer of a file; white space splits its input, so what stands between ASCII white space is encoded by itself.
 
-    In runs of plain characters the pieces are cut here and only new pieces go to the tokenizer's
-    model, many at a time; other runs pass through the whole tokenizer.
+    A batch of texts is cut at once: into the pieces of the split pattern where a run is printable
+    ASCII, else into whole runs. Each distinct unit is looked up once a batch. Of new ones those of plain
+    characters go to the tokenizer's model, many at a time; others pass through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -89,49 +103,130 @@ class WordEncoder:
         with open(path) as f:
             steps = json.load(f)
         self.known = all(steps[k] == v for k, v in STEPS.items())
+        self.kinds = KINDS if self.known else np.where(KINDS == SPACE, np.uint8(SPACE), np.uint8(ODD))
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.shown = {chr(b): c for b, c in enumerate(byte_characters())}
-        self.cache: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        ending = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        self.widths[list(vocabulary.values())] = [len(t.removesuffix(ending)) for t in vocabulary]
+        self._clear()
+
+    def _clear(self) -> None:
+        #: Number of each piece and whole run; a run that reads like a piece is that piece. Of each number the ids, in flat.
+        self.found: dict[str, int] = {}
+        self.sizes, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _keep(self, units: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.found.update(zip(units, range(len(self.sizes), len(self.sizes) + len(units)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units in turn, and where each unit's end."""
+        n = self.sizes[numbers]
+        ends = np.cumsum(n)
+        where = np.repeat(self.starts[numbers] - (ends - n), n) + np.arange(n.sum())
+        return self.flat[where], ends
 
     def _model(self, pieces: list[str]) -> None:
         """Encodes pieces and remembers them."""
-        for i in range(0, len(pieces), 1000):
-            some = pieces[i : i + 1000]
-            line = " ".join(p if p.isascii() else "".join(map(self.shown.__getitem__, p.encode().decode("latin-1"))) for p in some)
-            found = self.model.encode(line, add_special_tokens=False)
-            at = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(some) + 1))).tolist()
-            ids = np.array(found.ids, "<u4").tobytes()
-            self.pieces.update((p, ids[x:y]) for p, x, y in zip(some, at, at[1:], strict=False))
+        lists = [pieces[i : i + 1000] for i in range(0, len(pieces), 1000)]
+        shown = [some if "".join(some).isascii() else ["".join(map(self.shown.__getitem__, p.encode().decode("latin-1"))) for p in some] for some in lists]
+        lines = [" ".join(x) for x in shown]
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        for line, some, got in zip(lines, shown, self.model.encode_batch_fast(lines, add_special_tokens=False), strict=True):
+            own = np.array(got.ids, "<u4")
+            # tokens are as wide as what they stand for: a piece ends where the widths add up to it
+            ends, want = np.cumsum(self.widths[own]), np.cumsum(list(map(len, some)))
+            at = np.searchsorted(ends, want)
+            if len(own) and at[-1] == len(own) - 1 and (ends[at] == want).all():
+                sizes.append(np.diff(at, prepend=-1))
+            else:
+                got = self.model.encode(line, add_special_tokens=False)
+                own = np.array(got.ids, "<u4")
+                sizes.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)))
+            ids.append(own)
+        self._keep(pieces, np.concatenate(sizes), np.concatenate(ids))
 
     def _cut(self, run: str) -> list[str] | None:
         """The pieces of a run of plain characters; None: left to the tokenizer."""
-        if self.known and run.isascii() and run.isalpha():
-            return [run.lower()]
         return PIECE.findall(run.lower()) if self.known and PLAIN.fullmatch(run) else None
 
-    def _new(self, runs: list[bytes]) -> dict[bytes, bytes]:
-        texts = [r.decode() for r in runs]
-        cut = [self._cut(t) for t in texts]
-        missing = {p for c in cut if c for p in c if p not in self.pieces}
-        if len(self.pieces) + len(missing) > CACHE:
-            self.pieces.clear()
-            missing = {p for c in cut if c for p in c}
-        self._model(list(missing))
-        odd = [t for t, c in zip(texts, cut, strict=True) if c is None]
-        whole = iter([np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(odd, add_special_tokens=False)])
-        return {r: next(whole) if c is None else b"".join(map(self.pieces.__getitem__, c)) for r, c in zip(runs, cut, strict=True)}
+    def _new(self, units: list[str]) -> None:
+        """Encodes units and remembers them."""
+        words = [u for u in units if u.isalpha() and u.isascii()] if self.known else []
+        own = set(words)
+        cut = {u: self._cut(u) for u in units if u not in own}
+        self._model(words + list({p for c in cut.values() if c for p in c if p not in self.found and p not in own}))
+        odd = [u for u, c in cut.items() if c is None]
+        whole = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(odd, add_special_tokens=False)]
+        self._keep(odd, np.array(list(map(len, whole)), np.int64), np.concatenate([np.zeros(0, "<u4"), *whole]))
+        runs = [(u, c) for u, c in cut.items() if c and u not in self.found]
+        ids, ends = self._gather(np.array([self.found[p] for _, c in runs for p in c], np.int64))
+        last = np.append(0, ends)[np.cumsum([len(c) for _, c in runs], dtype=np.int64)]
+        self._keep([u for u, _ in runs], np.diff(last, prepend=0), ids)
+
+    def _numbers(self, units: list[str]) -> np.ndarray:
+        got = list(map(self.found.get, units))
+        new = [u for u, g in zip(units, got, strict=True) if g is None]
+        if len(self.found) + len(new) > CACHE:
+            self._clear()
+            new, got = units, [None] * len(units)
+        if new:
+            self._new(new)
+            late = map(self.found.__getitem__, new)
+            got = [next(late) if g is None else g for g in got]
+        return np.array(got, np.int64)
+
+    def _units(self, data: np.ndarray) -> tuple[np.ndarray, pa.StringArray]:
+        """Where each unit of a buffer begins, and the units: lower-case pieces, and runs with odd bytes as they are."""
+        kind, shown = self.kinds[data], LOWER[data]
+        solid = kind != SPACE
+        begins = solid.copy()
+        begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        odd = np.flatnonzero(kind == ODD)
+        if len(odd):
+            edge = np.diff(solid.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+            first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            whole = np.unique(np.searchsorted(first, odd, side="right") - 1)
+            step = np.zeros(len(data) + 1, np.int8)
+            step[first[whole]], step[last[whole]] = 1, -1
+            inside = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+            shown[inside], begins[inside] = data[inside], False
+            begins[first[whole]] = True
+        at, upto = np.flatnonzero(begins), np.cumsum(solid, dtype=np.int32)
+        offsets = np.append(upto[at] - 1, upto[-1:]).astype(np.int32)
+        return at, pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(shown[solid]))
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        at, units = self._units(np.frombuffer(b" ".join([*texts, b""]), np.uint8))
+        if not len(at):
+            return [b""] * len(texts)
+        coded = units.dictionary_encode()
+        names = pc.binary_join(pa.array([coded.dictionary], pa.list_(pa.string())), " ")[0].as_py().split(" ")
+        found, ends = self._gather(self._numbers(names)[coded.indices.to_numpy()])
+        ids = found.tobytes()
+        before = np.searchsorted(at, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        cuts = (4 * np.append(0, ends)[before]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers; what is new in them is encoded together."""
-        cut = [t.split() for t in texts]
-        new = list(set().union(*cut).difference(self.cache))
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list(set().union(*cut))
-        self.cache.update(self._new(new))
-        return [b"".join(map(self.cache.__getitem__, parts)) for parts in cut]
+        """Ids of each text as little-endian 32-bit integers; what is new in them is encoded together. Long texts go in parts."""
+        if all(len(t) <= PART_BYTES for t in texts):
+            return self._encode(texts)
+        return [b"".join(self._encode([p])[0] for p in parts(t)) for t in texts]
+
+
+def parts(text: bytes) -> Iterator[bytes]:
+    """A text cut before white space, every PART_BYTES or at the next one after."""
+    at = 0
+    while at < len(text):
+        space = SPACES.search(text, at + PART_BYTES)
+        end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
 
 
 @lru_cache(4)

@@ -61,6 +61,36 @@ def test_word_ids_equal_the_library():
     assert e.encode([t.encode() for t in texts]) == [np.array(w.ids, "<u4").tobytes() for w in want]
 
 
+def test_distinct_units_are_looked_up_once_a_batch(monkeypatch):
+    """Work on a unit does not grow with its repeats, and units come from one cut over all texts."""
+    e, seen = packed_ids.WordEncoder(P.path(packed_ids.VOCABULARY)), []
+    own = e._numbers
+    monkeypatch.setattr(e, "_numbers", lambda units: seen.append(units) or own(units))
+    texts = ["Hello world, hello 11 naïve,", "", "world don't", " \n"] * 200
+    got = e.encode([t.encode() for t in texts])
+    assert got == [np.array(w.ids, "<u4").tobytes() for w in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [sorted(x) for x in seen] == [sorted(["hello", "world", ",", "1", "naïve,", "don't"])]
+
+
+@pytest.mark.parametrize("change", ["small parts", "small cache", "other widths", "unknown steps"])
+def test_other_ways_of_the_word_encoder(monkeypatch, change):
+    e, draw = packed_ids.WordEncoder(P.path(packed_ids.VOCABULARY)), random.Random(8)
+    alphabet = [*"abzAB09'.,~#ßÀ÷ éÉ\n\t", "'s", "Σ", "e\u0301", "中", "\u00a0", "\x1c", "\x7f", "the ", "Word, "]
+    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 60))) for _ in range(600)]
+    if change == "small parts":
+        monkeypatch.setattr(packed_ids, "PART_BYTES", 7)
+    elif change == "small cache":
+        monkeypatch.setattr(packed_ids, "CACHE", 40)
+    elif change == "other widths":
+        e.widths[:] = 0
+    else:
+        e.known, e.kinds = False, np.where(packed_ids.KINDS == packed_ids.SPACE, packed_ids.SPACE, packed_ids.ODD)
+    want = [np.array(w.ids, "<u4").tobytes() for w in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for i in range(0, len(texts), 150):
+        assert e.encode([t.encode() for t in texts[i : i + 150]]) == want[i : i + 150]
+    assert e.encode([]) == [] and e.encode([b"", b" "]) == [b"", b""]
+
+
 def test_files_read_back(spark, tmp_path):
     docs = documents(spark).where("doc_id is not null").repartition(3)
     packed_ids.write(docs, str(tmp_path / "set"))
