@@ -60,3 +60,22 @@ def test_features_are_not_shuffled(spark, name):
 def test_sources_beyond_the_bound_are_joined_by_shuffle(spark):
     bag = FG.counted(FG.word_features(FG.word_lists(units(spark, [(1, "aa bb"), (2, "bb cc")]))))
     assert SC.small(bag)(bag)._jdf.queryExecution().toString().count("broadcast") and "broadcast" not in SC.small(bag, 1)(bag)._jdf.queryExecution().toString()
+
+
+def test_pair_scores_come_from_one_table(spark):
+    q = catalog.queries()
+    for name in ("rr_cascade", "rr_fuse", "st_pool", "rr_xref"):
+        assert "SortMergeJoin" not in (text := plan(q[name](spark, SF))) or name == "st_pool", text
+    assert plan(q["rr_cascade"](spark, SF)).count("Exchange") == 1
+    orders = plan(q["gd_order"](spark, SF))
+    assert orders.count("Window") == 0 and orders.count("FileScan") < 12  # each filter's answer is found once, not once an order
+
+
+TWINS = ["rr_cascade", "st_pool", "gd_order", "st_ordercmp", "ag_cost", "ct_bridge", "ct_mech", "ct_unreached", "ag_crosstab", "jd_blind", "jd_prep", "jd_quotecheck", "jd_synth", "ln_zbin_80", "sc_char4", "sc_ngram", "sc_runmatch", "fg_gap", "fg_deppath"]
+
+
+@pytest.mark.parametrize("name", TWINS)
+def test_twin(spark, name):
+    from test_engine import test_twin as compare
+
+    compare(spark, name)
